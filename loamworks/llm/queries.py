@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +18,28 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates at four or fewer differing bits."""
+    from .simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 35 or more words removed: digests of what is left."""
+    from .substring import remove_repeats
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain."""
+    from .decontaminate import contained_items
+
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts to ids and back: digests of both."""
     from .bpe import decode, encode
@@ -46,10 +70,13 @@ def op10_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_simhash": op4_simhash,
+    "op5_substring": op5_substring,
+    "op6_decontaminate": op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op10_arrow_sequences": op10_arrow_sequences,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_decontaminate": decontaminate.SQL}
