@@ -18,6 +18,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text."""
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates at four or fewer differing bits."""
     from .simhash import near_duplicates
@@ -58,6 +65,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every whole text."""
+    from .quality import score
+
+    scored = score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op10_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence files written and read back."""
     from .arrow_output import read_sequences, write_sequences
@@ -70,11 +85,13 @@ def op10_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
     "op6_decontaminate": op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_quality": op9_quality,
     "op10_arrow_sequences": op10_arrow_sequences,
 }
 
