@@ -25,6 +25,20 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from .html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each vector whose id is divisible by 50."""
+    from .ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates at four or fewer differing bits."""
     from .simhash import near_duplicates
@@ -86,6 +100,8 @@ def op10_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_main_text": op2_main_text,
+    "op3_nearest": op3_nearest,
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
     "op6_decontaminate": op6_decontaminate,
