@@ -82,7 +82,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no benchmark item; every column and row of the others stays (null ids go by their text's pairs too)."""
-    leaks = contained_items(docs, benchmark, threshold).select(F.col("doc_id").alias("_leak")).distinct()
+    leaks = stored(contained_items(docs, benchmark, threshold).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
 
 
