@@ -1,0 +1 @@
+"""Documents to training-ready datasets, on Spark."""
