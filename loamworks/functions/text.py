@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What ECMAScript takes for white space and line ends.
-WS = r"[\u0009-\u000D    -     　﻿]"
+WS = r"[\u0009-\u000D \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def trim_all(text: Column) -> Column:

@@ -28,7 +28,7 @@ CHUNK_ENTRY = "chunks.jsonl"
 NOT_A_ZIP = "not a valid ZIP file"
 NO_PAIRS = "no training data inside"
 #: ECMAScript white space and line ends.
-JS_SPACE = "\t\n\v\f\r                  　﻿"
+JS_SPACE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 SCHEMA = T.StructType(
     [
