@@ -68,7 +68,7 @@ def generate_dataset(docs: DataFrame, make: Callable[[], Extractor], *, model: s
     skipped = st.skipped_chunks(chunks, done)
     first = outcomes.where("status = 'failed'").groupBy("source").agg(F.min_by("error", "chunk").alias("first_error"))
     stats = st.dataset_stats(docs, chunks, pairs, skipped).join(first, "source", "left")
-    nothing = F.coalesce("first_error", F.lit("No training pairs could be generated from this document."))
+    nothing = F.coalesce("first_error", F.lit("The document gave no training pairs."))
     stats = stats.withColumn("error", F.when(F.col("pairs") == 0, nothing)).drop("first_error")
     stats = stats.withColumns({"model": F.lit(model), "created_at": F.lit(datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z")})
     return Dataset(chunks, pairs, stats, st.warnings(stats), outcomes)

@@ -25,6 +25,7 @@ from .files import file_name, read_bytes, stem
 #: The entries that hold pairs, in the order in which they are read.
 PAIR_ENTRIES = ["alpaca.jsonl", "alpaca/train.jsonl", "alpaca/validation.jsonl"]
 CHUNK_ENTRY = "chunks.jsonl"
+#: Why a file is skipped.
 NOT_A_ZIP = "not a valid ZIP file"
 NO_PAIRS = "no training data inside"
 #: ECMAScript white space and line ends.
