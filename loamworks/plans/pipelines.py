@@ -61,7 +61,7 @@ def generate_dataset(docs: DataFrame, make: Callable[[], Extractor], *, model: s
     chunks = chunk_documents(docs, most)
     prompts = chunks.select("source", "chunk", pairs_prompt(F.col("text")).alias("prompt"))
     outcomes = ask_all(prompts.repartition(tasks) if tasks else prompts.repartition("source", "chunk"), make, schema=PAIRS_JSON_SCHEMA, concurrency=concurrency, progress=progress)
-    outcomes = outcomes.persist(StorageLevel.DISK_ONLY)  # no request is sent twice
+    outcomes = outcomes.persist(StorageLevel.DISK_ONLY)  # no request is sent again while its executor lives
     done = outcomes.where("status = 'ok'")
     made = done.select("source", "chunk", F.posexplode(F.from_json("reply", REPLY_PAIRS)["pairs"]).alias("pos", "p")).select("source", "chunk", "pos", "p.instruction", "p.output")
     pairs = clean(made)

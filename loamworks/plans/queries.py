@@ -5,15 +5,13 @@ Pairs are made of conversations: a user's turn that an assistant's turn follows.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, dedupe, pairs as pr, split, stats as st
 from ..sources import sinks
+from ..sources.shared import shared_dir
 from ..sources.zip_datasets import pairs_of, read_datasets
 from .extract import ExtractorError, OfflineExtractor
 from .pipelines import generate_dataset
@@ -198,9 +196,9 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs as two packages, written and read again."""
     own = conversation_pairs(spark, sf_dir).withColumn("split", F.when(F.length("instruction") % 2 == 0, "even").otherwise("odd"))
-    folder, paths = tempfile.mkdtemp(prefix="packages-"), []
+    folder, paths = shared_dir(spark, "packages"), []
     for name in ("even", "odd"):
-        paths.append(sinks.write_zip(os.path.join(folder, f"{name}.zip"), {"alpaca.jsonl": sinks.lines(own.where(F.col("split") == name), ORDER, pr.to_alpaca)}))
+        paths.append(sinks.write_zip(f"{folder}/{name}.zip", {"alpaca.jsonl": sinks.lines(own.where(F.col("split") == name), ORDER, pr.to_alpaca)}))
     return pairs_of(read_datasets(spark, paths)).select("instruction", "output", "source", "chunk", "file_ord")
 
 
