@@ -33,6 +33,9 @@ BOILER_NAMES = frozenset("ad ads advert advertisement adverts alert banner bread
 #: Words in class, id and role that mark the article.
 CONTENT_NAMES = frozenset("article blogpost content entry main post story".split())
 
+#: Open elements that a start tag closes, where they stand innermost.
+IMPLIED_ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"td", "th", "tr", "p"}, "option": {"option"}}
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none""")
@@ -172,6 +175,7 @@ def blocks(html: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, in an article, in something else
+    opened: dict[str, int] = {}  # how many of each name
     article = other = False
     links = pos = 0
     end = len(html)
@@ -184,6 +188,13 @@ def blocks(html: str) -> list[Block]:
             parts.clear()
             linked.clear()
 
+    def leave(depth: int) -> None:
+        nonlocal article, other
+        for name, _, _ in stack[depth:]:
+            opened[name] -= 1
+        del stack[depth:]
+        article, other = stack[-1][1:] if stack else (False, False)
+
     match = _TOKEN.match
     while pos < end:
         m = match(html, pos)
@@ -204,15 +215,18 @@ def blocks(html: str) -> list[Block]:
             if tag == "a":
                 links = max(0, links - 1)
                 linked.append(" ")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    article, other = stack[-1][1:] if stack else (False, False)
-                    break
+            if opened.get(tag):
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                leave(depth)
             continue
         if tag in BLOCK_TAGS:
             close()
             links = 0
+            ends_here = IMPLIED_ENDS.get(tag, {"p"})
+            while stack and stack[-1][0] in ends_here:
+                leave(len(stack) - 1)
         if tag == "br":
             parts.append(" ")
             if links:
@@ -233,6 +247,7 @@ def blocks(html: str) -> list[Block]:
             if starts or ends or tag not in ("p", "span"):
                 article, other = article or starts, other or ends
                 stack.append((tag, article, other))
+                opened[tag] = opened.get(tag, 0) + 1
     close()
     return out
 
@@ -240,6 +255,9 @@ def blocks(html: str) -> list[Block]:
 def main_text(html: str) -> str:
     """The main text's blocks, joined by an empty line."""
     found = blocks(html)
+    if any(b.article and not b.other for b in found):  # then what stands outside is something else
+        for b in found:
+            b.other = b.other or not b.article
     sizes = [(float(b.words), b.link_words / b.words) for b in found]
     edge = (0.0, 0.0)
     kept = []

@@ -34,6 +34,11 @@ def test_malformed():
     assert html_extract.main_text("<article>" + "<div>" * 5000 + "deep") == "deep"
 
 
+def test_open_elements_end_where_html_says():
+    assert html_extract.main_text("<article><p class=notice>Cookies!<p>Real<ul><li class=ad>Buy<li>Item</ul><p class='share'>x</p>End</article><p>Out") == "Real\n\nItem\n\nEnd"
+    assert len(html_extract.blocks("<div>" * 20_000 + "</b></i>" * 20_000 + "deep")) == 1
+
+
 def test_tree_fits_its_table():
     rows = [list(map(float, line.split())) for line in html_extract.LABELLED.strip().split("\n")[1:]]
     assert all(html_extract.classify(r[:-1]) == r[-1] for r in rows) and len(rows) < 200
