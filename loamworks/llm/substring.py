@@ -36,7 +36,7 @@ from .common import slices, stored
 WINDOW = 35
 PREFIX = 8
 SPAN = WINDOW - PREFIX + 1
-GROUP_ROWS = 2000
+GROUP_ROWS = 50_000  # some tens of megabytes
 EMPTY_SHA = hashlib.sha256(b"").digest()
 
 _BYTE = np.random.default_rng(1).integers(0, 2**64, 256, dtype=np.uint64)
@@ -220,25 +220,33 @@ def nodes(depths: list[int]) -> Iterator[tuple[int, int, int]]:
 
 
 def maximal_repeats(group: list[tuple[int, int, bytes, bytes]]) -> Iterator[tuple[int, int, int]]:
-    """Spans (uid, start, end) of 35 or more words that occur elsewhere in the group (uid, place, left, right)."""
-    rights = [g[3].split() for g in group]
-    lefts = [g[2].split()[::-1] for g in group]
+    """Spans (uid, start, end) of 35 or more words that occur elsewhere in the group (uid, place, left, right).
+
+    Equal suffixes with equal words to their left are one leaf: all of it repeats.
+    """
+    leaves: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+    for uid, place, left, right in group:
+        leaves.setdefault((left, right), []).append((uid, place))
+    lefts, rights = ([k[i].split() for k in leaves] for i in (0, 1))
+    lefts = [x[::-1] for x in lefts]
+    held = list(leaves.values())
+    found: dict[int, set[tuple[int, int]]] = {i: {(len(lefts[i]), len(rights[i]))} for i, m in enumerate(held) if len(m) > 1}
+    whole = set(found)
     order, depths = _neighbours(rights)
     longest = max(map(len, lefts))
-    found: dict[int, set[tuple[int, int]]] = {}
     for first, last, depth in nodes(depths):
-        if depth + longest < WINDOW:
+        below = order[first : last + 1]
+        if depth + longest < WINDOW or whole.issuperset(below):
             continue
-        leaves = order[first : last + 1]
-        inner, common = _neighbours([lefts[i] for i in leaves])
+        inner, common = _neighbours([lefts[i] for i in below])
         for k, i in enumerate(inner):
             left = max(common[k - 1] if k else 0, common[k] if k < len(common) else 0)
-            if left + depth >= WINDOW:
-                found.setdefault(leaves[i], set()).add((left, depth))
+            if left + depth >= WINDOW and below[i] not in whole:
+                found.setdefault(below[i], set()).add((left, depth))
     for i, spans in found.items():
-        uid, place = group[i][:2]
-        for left, depth in spans:
-            yield uid, place - left, place + depth
+        for uid, place in held[i]:
+            for left, depth in spans:
+                yield uid, place - left, place + depth
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,13 +317,14 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = True, group_rows: int =
     import zstandard
 
     new, nothing = ["n_words", "n_removed", "kept_sha256"], zstandard.ZstdCompressor().compress(b"")
-    index = _index(docs.drop(*new))
-    columns = [c for c in docs.columns if c not in new and c != "text"]
+    carried = [c for c in docs.columns if c not in (*new, "text")]
+    columns = [f"own_{i}" for i in range(len(carried))]  # so that no name clashes
+    index = _index(docs.select(*(docs[f"`{c}`"].alias(o) for c, o in zip(carried, columns, strict=True)), "text"))
     copies = index.groupBy("_digest").agg(F.min("_uid").alias("_first"), F.count("*").alias("_copies"))
     anchors = index.select("_uid", F.xxhash64("_digest").alias("d"), F.explode(F.arrays_zip("_hashes", "_places", "_again")).alias("a"))
     flat = anchors.select("_uid", "d", F.col("a._hashes").alias("hash"), F.col("a._places").alias("place"), F.col("a._again").alias("again"))
     counted = flat.groupBy("hash").agg(F.count("*").alias("n"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.max("again").alias("again"))
-    repeated = counted.where("d0 <> d1 or again > 0").select("hash", "n")
+    repeated = stored(counted.where("d0 <> d1 or again > 0").select("hash", "n"), "repeated-prefixes")  # as a table, a frequent one can be split in the join
     places = flat.select("_uid", "hash", "place").join(repeated, "hash").groupBy("_uid").agg(F.collect_list(F.struct("hash", "place", "n")).alias("_anchors"))
     once = places.join(copies.select(F.col("_first").alias("_uid")), "_uid", "left_semi")
     held = stored(index.select("_uid", "_packed").join(once.hint("shuffle_hash"), "_uid"), "substring-candidates")
@@ -336,7 +345,9 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = True, group_rows: int =
     removed = F.when(whole, F.col("_n")).otherwise(F.coalesce("_removed", F.lit(0)))
     sha = F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.coalesce("_sha", "_digest"))
     out = joined.select(*columns, F.col("_n").alias("n_words"), removed.cast("long").alias("n_removed"), F.lower(F.hex(sha)).alias("kept_sha256"), *[F.when(whole, F.lit(nothing)).otherwise(F.coalesce("_kept", "_packed")).alias("_packed")] * with_text)
-    if not with_text:
-        return out
-    schema = T.StructType([*(docs.schema[c] if c in docs.columns and c not in new else out.schema[c] for c in [c for c in docs.columns if c not in new] + new)])
-    return out.mapInArrow(lambda batches: _text(batches, schema), schema)
+    if with_text:
+        schema = T.StructType([*(out.schema[c] for c in columns), docs.schema["text"], *(out.schema[c] for c in new)])
+        out = out.mapInArrow(lambda batches: _text(batches, schema), schema)
+    back = dict(zip(carried, columns, strict=True))
+    kept = [c for c in docs.columns if c in back or c == "text" and with_text]
+    return out.select(*(F.col(back.get(c, c)).alias(c) for c in kept), *new)
