@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: ASCII white space, the separators of words in all contracts.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which all executors share.
-
-    Only where the session has no such setting (tests, a laptop) a temporary
-    folder of this machine is set as one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="loamworks-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["WORD_GAP", "held_out", "shared_dir", "slices", "stored"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
