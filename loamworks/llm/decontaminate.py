@@ -70,13 +70,13 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     worded = docs.select("doc_id", F.xxhash64("text").alias("_hash"), words(F.col("text")).alias("_words"))
     hashed = worded.select("doc_id", "_hash", F.explode(shingle_hashes(F.col("_words"))).alias("hash"))
     candidates = stored(hashed.join(sketch, "hash").select(F.col("doc_id").alias("_id"), "_hash", "item").distinct(), "candidates")
-    pairs = candidates.join(items.select("item", "item_id", F.array_distinct(shingles(F.col("_words"))).alias("_item")), "item")
     texts = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
-    met = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    n, found = F.size("_item"), F.size(F.array_intersect(shingles(words(F.col("text"))), F.col("_item")))
-    judged = met.select("doc_id", "item_id", n.cast("long").alias("n_shingles"), found.cast("long").alias("n_found"))
-    best = judged.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= threshold)
-    top = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_found", "n_shingles")).alias("b"))
+    met = texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))).select("doc_id", "item", words(F.col("text")).alias("_words"))
+    sides = met.select("doc_id", "item", shingles(F.col("_words")).alias("_own"))
+    wanted = items.select("item", "item_id", F.array_distinct(shingles(F.col("_words"))).alias("_item"))
+    n, found = F.size("_item").cast("long"), F.size(F.array_intersect("_own", "_item")).cast("long")
+    judged = sides.join(wanted, "item").select("doc_id", "item_id", F.struct((found / n).alias("containment"), found.alias("n_found"), n.alias("n_shingles")).alias("b"))
+    top = judged.groupBy("doc_id", "item_id").agg(F.max("b").alias("b")).where(F.col("b.containment") >= threshold)
     return top.select("doc_id", "item_id", "b.n_shingles", "b.n_found", "b.containment")
 
 
