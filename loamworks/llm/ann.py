@@ -28,23 +28,26 @@ from pyspark.sql import types as T
 from .common import stored
 
 PLANES = 8
+#: Bits of a code for each component: the error falls with the square root.
+BITS = 4
 #: Standard deviations that the estimate's error may reach (beyond 4 in about one of 10,000 comparisons).
 ERROR_SPAN = 4.0
 ENTRIES, QUERIES = 8192, 2048
-ROWS = 128
+ROWS, PAIRS = 64, 1 << 14
 
 
 @lru_cache(8)
 def rotation(dim: int) -> np.ndarray:
-    """A random orthogonal matrix, always the same for a dimension."""
-    q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """For vectors padded with zeros to BITS times their dimension (long ones less): the rows that matter of a random orthogonal matrix, always the same."""
+    size = dim * max(1, min(BITS, 1024 // dim))
+    q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((size, size)))
+    return np.ascontiguousarray((q * np.sign(np.diag(r)))[:dim])
 
 
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(packed codes[vector, word], correction scalars) of vectors other than zero."""
-    dim = vectors.shape[1]
-    turned = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ rotation(dim)
+    turned = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ rotation(vectors.shape[1])
+    dim = turned.shape[1]
     words = -(-dim // 64)
     bits = np.zeros((len(vectors), words * 64), np.uint8)
     bits[:, :dim] = turned > 0
@@ -54,8 +57,8 @@ def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def estimate(codes: np.ndarray, scalars: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(estimated cosines, their error bounds)[query, vector]."""
-    dim = queries.shape[1]
-    turned = queries / np.linalg.norm(queries, axis=1, keepdims=True) @ rotation(dim)
+    turned = queries / np.linalg.norm(queries, axis=1, keepdims=True) @ rotation(queries.shape[1])
+    dim = turned.shape[1]
     low = turned.min(1, keepdims=True)
     width = np.maximum((turned.max(1, keepdims=True) - low) / (2**PLANES - 1), 1e-12)
     whole = np.rint((turned - low) / width).astype(np.uint8)
@@ -74,21 +77,33 @@ def estimate(codes: np.ndarray, scalars: np.ndarray, queries: np.ndarray) -> tup
     return estimates, ERROR_SPAN * spread[None, :] + width * np.sqrt(dim) / 2 / scalars[None, :]
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
-    return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+def cosines(a: np.ndarray, rows: np.ndarray, b: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Of the pairs (a[row], b[found]), in double precision, PAIRS at a time."""
+    out = np.empty(len(rows))
+    for k in range(0, len(rows), PAIRS):
+        x, y = a[rows[k : k + PAIRS]], b[found[k : k + PAIRS]]
+        out[k : k + PAIRS] = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+    return out
 
 
 def search(entries: np.ndarray, codes: np.ndarray, scalars: np.ndarray, counts: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, entries, cosines) that hold the k best rows, ties included; ``counts``: rows of each entry."""
+    """(query, entries, cosines) that hold the k best rows, ties included; ``counts``: rows of each entry.
+
+    The entries of the best estimates are compared first; the k-th best of their
+    cosines is the bar that the others' upper bounds must reach.
+    """
     for a in range(0, len(queries), ROWS):
         some = queries[a : a + ROWS]
         near, error = estimate(codes, scalars, some)
-        lower = near - error
-        k_ = min(k, len(entries))
-        bar = np.partition(lower, len(entries) - k_, axis=1)[:, len(entries) - k_]
-        row, found = np.nonzero(near + error >= bar[:, None])
-        exact = cosines(some[row], entries[found])
+        first = min(4 * k, len(entries))
+        best = np.argpartition(-near, first - 1, axis=1)[:, :first]
+        sure = cosines(some, np.repeat(np.arange(len(some)), first), entries, best.ravel()).reshape(best.shape)
+        bar = -np.partition(-sure, min(k, first) - 1, axis=1)[:, min(k, first) - 1]
+        row, found = np.nonzero(near + error >= bar[:, None] - 1e-12)
+        row, found = np.concatenate([row, np.repeat(np.arange(len(some)), first)]), np.concatenate([found, best.ravel()])
+        pairs = np.unique(row * len(entries) + found)
+        row, found = pairs // len(entries), pairs % len(entries)
+        exact = cosines(some, row, entries, found)
         ends = np.cumsum(np.bincount(row, minlength=len(some)))
         for i, (b, e) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)):
             order = np.argsort(-exact[b:e], kind="stable")
