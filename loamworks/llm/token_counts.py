@@ -60,8 +60,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     def known() -> DataFrame:
         return read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens").distinct()
 
-    missing = keyed.select("content_digest", "text").join(known(), "content_digest", "left_anti")
-    distinct = missing.groupBy("content_digest").agg(F.first("text").alias("text"))  # partial: each task sends a text once
-    counted = distinct.mapInArrow(_counting(tokenizer_path), T.StructType([CACHE["content_digest"], CACHE["n_tokens"]]))
+    distinct = keyed.groupBy("content_digest").agg(F.first("text").alias("text"))  # partial: each task sends a text once
+    missing = distinct.join(known(), "content_digest", "left_anti")
+    counted = missing.mapInArrow(_counting(tokenizer_path), T.StructType([CACHE["content_digest"], CACHE["n_tokens"]]))
     counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
     return keyed.select("doc_id", "content_digest", "n_bytes").join(known(), "content_digest").select("doc_id", "n_bytes", "n_tokens")
