@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id (rows without id stay: nothing tells them apart)."""
     found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept").withColumnRenamed("doc_id", "kept_id")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    out = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")  # ids grow with the documents: never broadcast, texts unsorted
     repeated = kept.where((F.col("n") > 1) & F.col("kept_id").isNotNull()).take(1)
     return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL")) if repeated else out
 
