@@ -18,6 +18,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ STATES = 10
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 NO_PAIR = np.int32(2**31 - 1)
-CACHED_PIECES = 400_000
-CACHED_IDS = 4_000_000
+CACHED_PIECES = 800_000
+CACHED_IDS = 8_000_000
 LONG_PIECE = 32
 
 
@@ -317,9 +318,11 @@ class Encoder:
         if len(self.pieces) > CACHED_PIECES or len(self.ids) > CACHED_IDS:
             self.pieces.clear()
             self.ids = array("i")
-        if missing := set(found).difference(self.pieces):
-            self._merge(list(missing))
-        packed = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        packed = np.fromiter(map(self.pieces.get, found, repeat(-1)), np.int64, len(found))
+        if len(new := np.flatnonzero(packed < 0)):
+            missing = [found[i] for i in new.tolist()]
+            self._merge(list(dict.fromkeys(missing)))
+            packed[new] = np.fromiter(map(self.pieces.__getitem__, missing), np.int64, len(missing))
         counts, offsets = packed & 0xFFFFFFFF, packed >> 32
         ends = np.cumsum(counts)
         total = int(ends[-1])
