@@ -2,8 +2,10 @@
 
 A page is cut at block-level tags into flat blocks of text.  Each block is
 described by its word count and link density, those of the blocks before and
-after it, and what encloses it; a decision tree, grown from the small labelled
-table below, says whether it belongs to the main text.
+after it, and what encloses it; decision trees, grown from the small labelled
+table below, one for each kind of place, say whether it belongs to the main text.  A wrapper that is marked
+as something else but encloses the page's article (a form around the page, a
+layout named after its sidebar) doesn't count as something else.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ BOILER_TAGS = frozenset("aside button dialog footer form menu nav".split())
 CONTENT_TAGS = frozenset("article main".split())
 #: Words in class, id and role that mark what isn't the article.
 BOILER_NAMES = frozenset("ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies copyright dialog discussion disqus footer form gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager paginate pagination popup privacy promo promoted promotion reader recommended recommendations related replies reply respond responses search share sharing shoutbox sidebar signup sitemap skip skyscraper social sponsor sponsored subscribe subscription tags toolbar widget widgets".split())
+#: Those of them under which articles of others stand.
+REPLY_NAMES = frozenset("comment commentlist comments discussion disqus related recommended recommendations replies reply respond responses shoutbox".split())
 #: Words in class, id and role that mark the article.
 CONTENT_NAMES = frozenset("article blogpost content entry main post story".split())
 
@@ -42,8 +46,8 @@ _HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none""")
 _NAME = re.compile(r"[a-z]+")
 
 #: The labelled table: words and link density of a block, of the one before and
-#: of the one after, whether it stands in an article and in something that is
-#: none, and whether it is main text.
+#: of the one after, whether it stands in an article (-1: outside of those that
+#: the page has) and in something that is none, and whether it is main text.
 LABELLED = """
 words density before before_density after after_density article other main
 1     1.00    0      0.00           1     1.00          0       1     0
@@ -99,6 +103,53 @@ words density before before_density after after_density article other main
 40    0.70    30     0.80           35    0.75          0       0     0
 6     0.60    2      1.00           4     0.00          0       0     0
 4     0.00    0      0.00           3     1.00          0       0     0
+8     1.00    9      1.00           7     1.00          1       0     0
+12    1.00    11     1.00           10    1.00          1       0     0
+6     1.00    7      1.00           8     1.00          1       0     0
+9     1.00    2      0.00           8     1.00          1       0     0
+7     1.00    10     1.00           40    0.00          1       0     0
+10    1.00    60     0.00           10    1.00          1       0     0
+8     1.00    25     0.00           9     1.00          1       0     0
+2     1.00    2      1.00           2     1.00          1       0     1
+1     1.00    2      1.00           1     1.00          1       0     1
+9     1.00    60     0.00           50    0.00          1       0     1
+6     1.00    20     0.00           35    0.00          1       0     1
+14    1.00    45     0.00           30    0.05          1       0     1
+40    0.00    50     0.00           9     1.00          1       0     1
+3     0.00    40     0.00           8     1.00          1       0     1
+25    0.00    8      1.00           30    0.00          1       0     1
+80    0.10    12     1.00           10    1.00          1       0     1
+5     0.00    9      1.00           11    1.00          1       0     1
+8     0.00    7      1.00           60    0.00          1       0     1
+2     0.00    10     1.00           9     1.00          1       0     1
+30    0.30    8      1.00           12    1.00          1       0     1
+15    0.00    90     0.00           12    1.00          1       0     1
+120   0.05    10     1.00           50    0.00          1       0     1
+70    0.00    60     0.00           80    0.00          -1      0     1
+90    0.05    80     0.00           45    0.00          -1      0     1
+50    0.00    70     0.00           65    0.00          -1      0     1
+60    0.02    45     0.00           90    0.00          -1      0     1
+60    0.00    65     0.00           2     1.00          -1      0     1
+55    0.00    50     0.00           4     0.00          -1      0     1
+80    0.00    40     0.00           1     0.00          -1      0     1
+70    0.00    2      1.00           60    0.00          -1      0     1
+60    0.00    1      0.00           75    0.05          -1      0     1
+50    0.00    5      0.00           50    0.00          -1      0     1
+1     0.00    30     0.00           0     0.00          -1      0     0
+12    0.00    40     0.00           2     1.00          -1      0     0
+8     0.00    70     0.00           80    0.00          -1      0     0
+20    0.00    60     0.00           50    0.00          -1      0     0
+5     1.00    6      1.00           5     1.00          -1      0     0
+3     0.00    5      1.00           9     1.00          -1      0     0
+9     1.00    60     0.00           50    0.00          -1      0     0
+60    0.80    50     0.70           70    0.75          -1      0     0
+60    0.90    60     0.00           70    0.00          -1      0     0
+60    0.00    3      0.00           1     1.00          -1      0     0
+80    0.00    3      1.00           2     1.00          -1      0     0
+60    0.00    3      0.00           5     0.00          -1      0     0
+90    0.00    1      0.00           0     0.00          -1      0     0
+50    0.00    12     0.00           9     0.00          -1      0     0
+60    0.00    0      0.00           8     0.00          -1      0     0
 """
 
 
@@ -113,6 +164,20 @@ class Block:
     other: bool
 
 
+@dataclass
+class Scope:
+    """A marked open element, and those around it: what it starts, and whether it is something else."""
+
+    outer: Scope | None = field(default=None, repr=False)
+    tag: str = ""
+    article: bool = False
+    ends: bool = False
+    other: bool = False
+    barred: bool = False  # nothing in it can be the page's article
+    body: Scope | None = field(default=None, repr=False)  # the outermost article within the innermost something else
+    words: int = 0  # outside of links, if a body
+
+
 @dataclass
 class Node:
     """A decision: of a feature, at most a threshold or above; a leaf has only a label."""
@@ -148,35 +213,94 @@ def grow(rows: list[tuple[list[float], int]], least: int = 1) -> Node:
 
 
 @lru_cache(1)
-def tree() -> Node:
-    rows = [list(map(float, line.split())) for line in LABELLED.strip().split("\n")[1:]]
-    return grow([(r[:-1], int(r[-1])) for r in rows])
+def trees() -> dict[tuple[float, ...], Node]:
+    """One for each place, of what else the table says of blocks there: (in an article, in something else)."""
+    rows: dict[tuple[float, ...], list[tuple[list[float], int]]] = {}
+    for line in LABELLED.strip().split("\n")[1:]:
+        *features, label = map(float, line.split())
+        rows.setdefault(_place(features), []).append((features[:-2], int(label)))
+    return {place: grow(own) for place, own in rows.items()}
+
+
+def _place(features: list[float]) -> tuple[float, ...]:
+    article, other = features[-2:]
+    return (0.0 if other else article, other)
 
 
 def classify(features: list[float]) -> int:
-    node = tree()
+    node = trees()[_place(features)]
     while node.feature >= 0:
         node = node.low if features[node.feature] <= node.threshold else node.high
     return node.label
 
 
 @lru_cache(4096)
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(holds an article, holds something else) of a start tag."""
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(holds an article, holds something else, and no article of the page either) of a start tag."""
     names = {n for m in _ATTRIBUTE.finditer(attributes) for n in _NAME.findall((m[2] or m[3] or m[4] or "").lower())} if attributes else set()
     article = tag in CONTENT_TAGS or bool(names & CONTENT_NAMES)
-    other = tag in BOILER_TAGS or bool(_HIDDEN.search(attributes)) or tag not in ("html", "body", *CONTENT_TAGS) and bool(names & BOILER_NAMES)
-    return article and not other, other
+    page = tag in ("html", "body")
+    hidden = not page and bool(_HIDDEN.search(attributes))  # a hidden page is shown later
+    named = names & BOILER_NAMES if not page and tag not in CONTENT_TAGS else set()
+    other = tag in BOILER_TAGS or hidden or bool(named)
+    return article and not other, other, hidden or bool(named & REPLY_NAMES)
+
+
+def _inside(outer: Scope, tag: str, starts: bool, ends: bool, barred: bool) -> Scope:
+    new = Scope(outer, tag, outer.article or starts, ends, outer.other or ends, outer.barred or barred, outer.body)
+    if ends:
+        new.body = new if tag == "form" else None
+    elif tag in CONTENT_TAGS and (new.body is None or new.body.tag == "form"):
+        new.body = new
+    return new
+
+
+def _free_article(found: list[Block], held: list[Scope], scopes: list[Scope]) -> None:
+    """Wrappers of the page's article no longer count as something else.
+
+    Its article is the <article> or <main> with the most words outside of links,
+    or without any the form, if that holds more than what stands in no wrapper
+    (of which, if there is one, only the article counts).
+    """
+    strict = plain = 0
+    for b, scope in zip(found, held, strict=True):
+        own = b.words - b.link_words
+        if scope.body:
+            scope.body.words += own
+        if not b.other:
+            plain += own
+            strict += own if b.article else 0
+    bodies = [x for x in scopes if x.body is x]
+    inner = [x for x in bodies if x.tag in CONTENT_TAGS]
+    bodies = [x for x in inner or bodies if x.other and not x.barred]
+    best = max(bodies, key=lambda x: x.words, default=None)
+    if best is None or best.words <= (strict or plain):
+        return
+    around, at = [], best
+    while at is not None:
+        if at.ends:
+            around.append(at)
+        at = at.outer
+    if strict and (best.tag == "form" or any(x.tag in BOILER_TAGS and x.tag != "form" for x in around)):
+        return
+    for x in around:
+        x.ends = False
+    for x in scopes:  # outer ones first
+        x.other = x.ends or x.outer is not None and x.outer.other
+    for b, scope in zip(found, held, strict=True):
+        b.other = scope.other
 
 
 def blocks(html: str) -> list[Block]:
     """The page's flat blocks, in order; empty ones are left out."""
     out: list[Block] = []
+    held: list[Scope] = []  # of each block
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, in an article, in something else
+    root = scope = Scope()
+    scopes = [root]
+    stack: list[tuple[str, Scope]] = []  # open elements: name, and the innermost marked one
     opened: dict[str, int] = {}  # how many of each name
-    article = other = False
     links = pos = 0
     end = len(html)
 
@@ -184,16 +308,17 @@ def blocks(html: str) -> list[Block]:
         if parts:
             words = "".join(parts).split()
             if words:
-                out.append(Block(" ".join(words), len(words), min(len(words), len("".join(linked).split())), article, other))
+                out.append(Block(" ".join(words), len(words), min(len(words), len("".join(linked).split())), scope.article, scope.other))
+                held.append(scope)
             parts.clear()
             linked.clear()
 
     def leave(depth: int) -> None:
-        nonlocal article, other
-        for name, _, _ in stack[depth:]:
+        nonlocal scope
+        for name, _ in stack[depth:]:
             opened[name] -= 1
         del stack[depth:]
-        article, other = stack[-1][1:] if stack else (False, False)
+        scope = stack[-1][1] if stack else root
 
     match = _TOKEN.match
     while pos < end:
@@ -241,29 +366,30 @@ def blocks(html: str) -> list[Block]:
         if tag == "a":
             links += 1
         elif tag in BLOCK_TAGS and tag != "p" or tag == "span" or tag == "p" and m[3]:
-            starts, ends = _marks(tag, m[3])
+            starts, ends, barred = _marks(tag, m[3])
             if tag == "header":
-                ends = ends or not article  # of the page, not of the article
+                ends = ends or not scope.article  # of the page, not of the article
             if starts or ends or tag not in ("p", "span"):
-                article, other = article or starts, other or ends
-                stack.append((tag, article, other))
+                if starts or ends:
+                    scope = _inside(scope, tag, starts, ends, barred)
+                    scopes.append(scope)
+                stack.append((tag, scope))
                 opened[tag] = opened.get(tag, 0) + 1
     close()
+    _free_article(out, held, scopes)
     return out
 
 
 def main_text(html: str) -> str:
     """The main text's blocks, joined by an empty line."""
     found = blocks(html)
-    if any(b.article and not b.other for b in found):  # then what stands outside is something else
-        for b in found:
-            b.other = b.other or not b.article
+    outside = -float(any(b.article and not b.other for b in found))
     sizes = [(float(b.words), b.link_words / b.words) for b in found]
     edge = (0.0, 0.0)
     kept = []
     for i, b in enumerate(found):
         before, after = sizes[i - 1] if i else edge, sizes[i + 1] if i + 1 < len(found) else edge
-        if classify([*sizes[i], *before, *after, float(b.article), float(b.other)]):
+        if classify([*sizes[i], *before, *after, 1.0 if b.article else outside, float(b.other)]):
             kept.append(b.text)
     return "\n\n".join(kept)
 

@@ -39,6 +39,27 @@ def test_open_elements_end_where_html_says():
     assert len(html_extract.blocks("<div>" * 20_000 + "</b></i>" * 20_000 + "deep")) == 1
 
 
+def test_wrappers_of_the_article_are_not_something_else():
+    page = "<nav><a href=x>Home</a></nav><article><h1>Title</h1><p>The body of this article.<aside>Ad</aside></article><div>Legal</div>"
+    for wrapper in ["<form id=aspnetForm>%s</form>", "<div class='layout has-sidebar'>%s</div>", "<div id=sidebar>%s</div>", "<form><div class=widget>%s</div></form>", "<body style='display:none'>%s"]:
+        assert html_extract.main_text(wrapper % page) == "Title\n\nThe body of this article."
+    assert html_extract.main_text("<div class=content>Hi</div><form>%s</form>" % page) == "Hi\n\nTitle\n\nThe body of this article."
+    for wrapper in ["<div hidden>%s</div>", "<section id=comments>%s</section>"]:
+        assert html_extract.main_text(wrapper % page) == ""
+    body = " ".join(["word"] * 60)
+    assert html_extract.main_text(f"<form><h1>Head</h1><p>{body}</p><p>{body}</p></form>") == f"Head\n\n{body}\n\n{body}"
+    assert html_extract.main_text(f"<article><p>Photo.</p></article><aside><article>{body}</article></aside><section id=comments><article>{body}</article></section>") == "Photo."
+    assert html_extract.main_text("<form>" * 5000 + "<article>" * 5000 + "deep") == "deep"
+
+
+def test_words_and_links_decide_in_and_outside_of_articles():
+    body, link = " ".join(["word"] * 60), "<li><a href=x>One more of the stories that we have</a>"
+    assert html_extract.main_text(f"<article><p>{body}</p><ul>{link * 4}</ul></article>") == body
+    assert html_extract.main_text(f"<article><p>{body}</p><p><a href=x>A whole sentence that is one link.</a></p><p>{body}</p></article>").count("\n\n") == 2
+    assert html_extract.main_text(f"<article><p>Teaser.</p></article><p>{body}</p><p>{body}</p><p>{body}</p><p>Legal</p>") == "\n\n".join(["Teaser.", body, body, body])
+    assert html_extract.main_text(f"<article><p>{body}</p></article><p>Legal</p><p>{body}</p><p>Out</p>") == body
+
+
 def test_tree_fits_its_table():
     rows = [list(map(float, line.split())) for line in html_extract.LABELLED.strip().split("\n")[1:]]
     assert all(html_extract.classify(r[:-1]) == r[-1] for r in rows) and len(rows) < 200
