@@ -53,6 +53,21 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return hashed.where(F.size("h") > 0).select(F.explode(F.slice("h", F.lit(1), needed)).alias("hash"), "item")
 
 
+def _judged(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """Rows (doc_id, _h, item_id, b) of candidates, _h being the hash of the text that was judged."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("_words")).distinct().withColumn("item", F.xxhash64("item_id", "_words"))
+    sketch = stored(sketches(items, threshold), "sketches")  # its size is then known: broadcast only if small
+    worded = docs.select("doc_id", F.xxhash64("text").alias("_hash"), words(F.col("text")).alias("_words"))
+    hashed = worded.select("doc_id", "_hash", F.explode(shingle_hashes(F.col("_words"))).alias("hash"))
+    candidates = stored(hashed.join(sketch, "hash").select(F.col("doc_id").alias("_id"), "_hash", "item").distinct(), "candidates")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
+    met = texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))).select("doc_id", "_h", "item", words(F.col("text")).alias("_words"))
+    sides = met.select("doc_id", "_h", "item", shingles(F.col("_words")).alias("_own"))
+    wanted = items.select("item", "item_id", F.array_distinct(shingles(F.col("_words"))).alias("_item"))
+    n, found = F.size("_item").cast("long"), F.size(F.array_intersect("_own", "_item")).cast("long")
+    return sides.join(wanted, "item").select("doc_id", "_h", "item_id", F.struct((found / n).alias("containment"), found.alias("n_found"), n.alias("n_shingles")).alias("b"))
+
+
 def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, item_id, n_shingles, n_found, containment) of documents (doc_id, text) and items (item_id, text).
 
@@ -65,25 +80,18 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     any other.  Texts may be of any length; further columns are ignored; empty
     tables give no rows.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("_words")).distinct().withColumn("item", F.xxhash64("item_id", "_words"))
-    sketch = stored(sketches(items, threshold), "sketches")  # its size is then known: broadcast only if small
-    worded = docs.select("doc_id", F.xxhash64("text").alias("_hash"), words(F.col("text")).alias("_words"))
-    hashed = worded.select("doc_id", "_hash", F.explode(shingle_hashes(F.col("_words"))).alias("hash"))
-    candidates = stored(hashed.join(sketch, "hash").select(F.col("doc_id").alias("_id"), "_hash", "item").distinct(), "candidates")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
-    met = texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))).select("doc_id", "item", words(F.col("text")).alias("_words"))
-    sides = met.select("doc_id", "item", shingles(F.col("_words")).alias("_own"))
-    wanted = items.select("item", "item_id", F.array_distinct(shingles(F.col("_words"))).alias("_item"))
-    n, found = F.size("_item").cast("long"), F.size(F.array_intersect("_own", "_item")).cast("long")
-    judged = sides.join(wanted, "item").select("doc_id", "item_id", F.struct((found / n).alias("containment"), found.alias("n_found"), n.alias("n_shingles")).alias("b"))
-    top = judged.groupBy("doc_id", "item_id").agg(F.max("b").alias("b")).where(F.col("b.containment") >= threshold)
+    top = _judged(docs, benchmark, threshold).groupBy("doc_id", "item_id").agg(F.max("b").alias("b")).where(F.col("b.containment") >= threshold)
     return top.select("doc_id", "item_id", "b.n_shingles", "b.n_found", "b.containment")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that contain no benchmark item; every column and row of the others stays (null ids go by their text's pairs too)."""
-    leaks = stored(contained_items(docs, benchmark, threshold).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    """The documents that contain no benchmark item; every column and row of the others stays.
+
+    Each row goes by its own text, also where its id is null or that of others.
+    """
+    found = _judged(docs, benchmark, threshold).where(F.col("b.containment") >= threshold)
+    leaks = stored(found.select(F.col("doc_id").alias("_leak"), F.col("_h").alias("_leak_hash")).distinct(), "leaks")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]) & (F.xxhash64(docs["text"]) == leaks["_leak_hash"]), "left_anti")
 
 
 #: DuckDB SQL for contained_items over the tables documents and benchmark.

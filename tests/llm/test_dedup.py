@@ -217,6 +217,16 @@ def test_decontaminate_against_brute_force(spark):
     assert decontaminate.contained_items(ds.limit(0), its).count() == 0 and decontaminate.contained_items(ds, its.limit(0)).count() == 0
 
 
+def test_decontaminate_rows_that_share_an_id(spark):
+    rng = random.Random(6)
+    item, clean = sentence(rng, 20), [sentence(rng, 40) for _ in range(4)]
+    docs = [(None, clean[0]), (None, f"{clean[1]} {item}"), (None, None), (1, clean[2]), (1, f"{item} {clean[2]}"), (2, clean[3]), (2, clean[3]), (3, item), (3, item)]
+    ds, its = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = decontaminate.decontaminate(ds, its)
+    assert by_row(got, "doc_id", "text") == sorted([(None, clean[0]), (None, None), (1, clean[2]), (2, clean[3]), (2, clean[3])], key=lambda t: [(v is not None, v) for v in t])
+    assert by_row(decontaminate.contained_items(ds, its), "doc_id", "item_id", "containment") == [(None, 7, 1.0), (1, 7, 1.0), (3, 7, 1.0)]
+
+
 def test_decontaminate_edge(spark, edge_docs):
     items = spark.createDataFrame([(1, "it's we'll don't 'x' 1234", "z")], "item_id long, text string, hash string")
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(edge_docs, items).collect()] == [(13, 1)]
