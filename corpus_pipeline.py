@@ -16,7 +16,7 @@ from loamworks.llm.bpe import encode
 from loamworks.llm.common import stored
 from loamworks.llm.decontaminate import decontaminate
 from loamworks.llm.quality import score
-from loamworks.llm.simhash import near_duplicates
+from loamworks.llm.simhash import representatives
 from loamworks.llm.substring import remove_repeats
 
 LEAST_QUALITY = 0.3
@@ -39,12 +39,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id (rows without id stay: nothing tells them apart)."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept").withColumnRenamed("doc_id", "kept_id")
-    out = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")  # ids grow with the documents: never broadcast, texts unsorted
-    repeated = kept.where((F.col("n") > 1) & F.col("kept_id").isNotNull()).take(1)
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL")) if repeated else out
+    """Of each group of near duplicates one row: the smallest id, rows without id last, and of equal ids the least text hash (equal texts: any)."""
+    own = _apart(docs).withColumn("digest", F.xxhash64("text"))
+    kept = stored(representatives(own), "kept")
+    same = own["doc_id"].eqNullSafe(kept["kept_id"]) & (own["digest"] == kept["kept_digest"])
+    out = own.join(kept.hint("shuffle_hash"), same, "left_semi")  # ids grow with the documents: never broadcast, texts unsorted
+    return _back(out.dropDuplicates(["doc_id", "digest"]) if kept.where("n > 1").take(1) else out, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,15 +54,15 @@ def fingerprint(text: str) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, fingerprint long) of documents (doc_id, text), one for each row."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fingerprint", T.LongType())])
+def fingerprints(docs: DataFrame, *further: str) -> DataFrame:
+    """Rows (doc_id, fingerprint long, further columns) of documents (doc_id, text, further columns), one for each row."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fingerprint", T.LongType()), *(docs.schema[c] for c in further)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", 1 << 22):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(fingerprint, texts)), pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(fingerprint, texts)), pa.int64()), *map(batch.column, further)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *further).mapInArrow(run, schema)
 
 
 def _syndrome(word: int) -> int:
@@ -168,6 +168,14 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(anchor, prints)
 
 
+def _rooted(classes: DataFrame) -> DataFrame:
+    """Rows of distinct fingerprints, each with the root of its component."""
+    placed = classes.select(F.explode(anchors(F.col("fingerprint"))).alias("anchor"), "fingerprint")
+    links = placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_link, LINKS)
+    roots = connected_components(links).withColumnsRenamed({"node": "fingerprint"})
+    return classes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id) of documents (doc_id, text), one for each row.
 
@@ -181,11 +189,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = stored(fingerprints(docs), "fingerprints")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    placed = classes.select(F.explode(anchors(F.col("fingerprint"))).alias("anchor"), "fingerprint")
-    links = placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_link, LINKS)
-    roots = connected_components(links).withColumnsRenamed({"node": "fingerprint"})
-    rooted = classes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    rooted = _rooted(classes)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fingerprint", "component_id")
     joined = prints.join(named, "fingerprint")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """Rows (kept_id, kept_digest, n), one for each component of documents (doc_id, text, digest).
+
+    The least (doc_id, digest) of the component's rows, null ids after all
+    others, and the number of rows that have both; ``digest`` tells texts of the
+    same id apart.
+    """
+    prints = stored(fingerprints(docs, "digest"), "fingerprints")
+    each = prints.groupBy("fingerprint", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "n")
+    rooted = _rooted(stored(each.groupBy("fingerprint").agg(F.min(first).alias("least")), "classes"))
+    best = rooted.groupBy("root").agg(F.min("least").alias("b"))
+    return best.select(F.col("b.doc_id").alias("kept_id"), F.col("b.digest").alias("kept_digest"), "b.n")
