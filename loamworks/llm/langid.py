@@ -10,8 +10,10 @@ by expectation-maximisation over the same lattices.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp, inf, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ UNKNOWN = 0  # any character that is no piece
 LONG_WORD = 32
 ROUNDS = 3
 FLOOR = 1e-7
+LONG_SLICE = 1 << 16
 CACHED_WORDS = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -130,8 +133,40 @@ def forward(ids: np.ndarray, p: np.ndarray, lengths: np.ndarray) -> tuple[np.nda
     return alpha, alpha[np.arange(n), lengths]
 
 
+def _count_long(word: str, weight: float, p: np.ndarray, vocabulary: Pieces, total: np.ndarray) -> None:
+    """Adds the expected pieces of a word of any length to ``total``: logarithms, and a lattice of LONG_SLICE ends at a time."""
+    marked = MARK + word
+    n = len(marked)
+
+    def arcs(first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(position after, position before, piece + 1, log probability) of all pieces that end in the slice, by end."""
+        low = max(0, first - vocabulary.longest)  # what stands there is taken for a mark, but no piece reaches it unless it is one
+        ids = vocabulary.lattice([marked[low + 1 : first + LONG_SLICE]])[0, first - low :]
+        ends, lengths = np.nonzero(ids >= 0)
+        piece = ids[ends, lengths] + 1
+        return first + ends + 1, first + ends - lengths, piece, np.log(p[piece])
+
+    def add(sums: array, at: int, x: float) -> None:
+        y = sums[at]
+        sums[at] = x if y == -inf else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
+
+    alpha, beta = array("d", [0.0]) + array("d", [-inf]) * n, array("d", [-inf]) * n + array("d", [0.0])
+    for first in range(0, n, LONG_SLICE):
+        after, before, _, q = arcs(first)
+        for b, a, x in zip(after.tolist(), before.tolist(), q.tolist(), strict=True):
+            add(alpha, b, alpha[a] + x)
+    for first in reversed(range(0, n, LONG_SLICE)):
+        after, before, piece, q = arcs(first)
+        for b, a, x in zip(after[::-1].tolist(), before[::-1].tolist(), q[::-1].tolist(), strict=True):
+            add(beta, a, beta[b] + x)
+        np.add.at(total, piece, weight * np.exp(np.asarray(alpha)[before] + q + np.asarray(beta)[after] - alpha[n]))
+
+
 def fit(counts: list[tuple[str, str, int]], path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """(languages, p[language, piece + 1]) from (language, word, count): expectation-maximisation from uniform pieces."""
+    """(languages, p[language, piece + 1]) from (language, word, count): expectation-maximisation from uniform pieces.
+
+    Words may be of any length; a language without any count keeps uniform pieces.
+    """
     vocabulary = pieces(path)
     names = sorted({c[0] for c in counts})
     p = np.full((len(names), vocabulary.size + 1), 1.0 / vocabulary.size)
@@ -140,6 +175,8 @@ def fit(counts: list[tuple[str, str, int]], path: str, rounds: int = ROUNDS) ->
         total = np.zeros_like(p)
         for row, name in enumerate(names):
             own = [(w, c) for lang, w, c in counts if lang == name and len(w) <= LONG_WORD]
+            for w, c in ((w, c) for lang, w, c in counts if lang == name and len(w) > LONG_WORD):
+                _count_long(w, c, p[row], vocabulary, total[row])
             for part in _by_length([w for w, _ in own]):
                 some, weight = [own[i][0] for i in part], np.array([own[i][1] for i in part], float)
                 ids, lengths = vocabulary.lattice(some), np.array([len(w) + 1 for w in some])
@@ -153,6 +190,7 @@ def fit(counts: list[tuple[str, str, int]], path: str, rounds: int = ROUNDS) ->
                         total[row] += np.bincount(ids[:, j, k] + 1, alpha[:, j - k] * q * beta[:, j + 1], p.shape[1])
                         beta[:, j - k] += q * beta[:, j + 1]
         total[:, 0] = 0
+        total[total.sum(1) == 0] = 1
         total += FLOOR * total.sum(1, keepdims=True)
         total[:, 0] = 0
         p = total / total.sum(1, keepdims=True)
@@ -240,8 +278,8 @@ def identify(docs: DataFrame, vocabulary_path: str, *, texts_per_language: int =
 
     Learns from texts and non-null languages of documents that aren't held out
     (crc32 of the id mod 5 is not 0): of each language at most
-    ``texts_per_language`` texts and of their words the ``words_per_language``
-    most frequent.  Predictions see the whole text alone.  ``score`` is the
+    ``texts_per_language`` texts and of their words, of any length, the
+    ``words_per_language`` most frequent.  Predictions see the whole text alone.  ``score`` is the
     language's posterior under equal priors.  Texts that are null or have no
     letter get ``und`` and 0, as do all if nothing can be learned; ties go to
     the first language by name; further columns are ignored.

@@ -36,6 +36,27 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(both[0]).all()
 
 
+def test_long_words_are_learned_from_as_short_ones_are(monkeypatch):
+    counts = [("x", "the", 5), ("x", "thereafter", 2), ("y", "straßenbahn", 3), ("y", "日本x", 9), ("y", "a", 1)]
+    want = langid.fit(counts, PIECES)[1]
+    monkeypatch.setattr(langid, "LONG_WORD", 0)
+    assert np.allclose(langid.fit(counts, PIECES)[1], want, rtol=1e-9, atol=0)
+    whole = langid.fit([("x", "thereafter" * 60, 1)], PIECES)[1]
+    monkeypatch.setattr(langid, "LONG_SLICE", 7)
+    assert np.allclose(langid.fit(counts, PIECES)[1], want, rtol=1e-9, atol=0)
+    assert np.allclose(langid.fit([("x", "thereafter" * 60, 1)], PIECES)[1], whole, rtol=1e-9, atol=0) and np.isfinite(whole).all()
+
+
+def test_a_language_of_long_words_alone(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:12]
+    english, unspaced = "the other words are here and there", "日本語の文章は空白なしで続く" * 5
+    rows = [(i, english, "en") for i in ids[:6]] + [(i, unspaced, "ja") for i in ids[6:11]] + [(ids[11], "q" * 5000, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(docs, PIECES).collect()}
+    assert all(got[i]["lang_pred"] == lang and 0.5 < got[i]["score"] <= 1 for i, _, lang in rows)
+    assert np.isfinite(langid.fit([("aa", "", 0), ("en", "the", 2)], PIECES)[1]).all()
+
+
 def test_fit_raises_the_likelihood():
     counts = [("x", w, c) for w, c in (("the", 9), ("then", 4), ("other", 3), ("hat", 2))]
 
