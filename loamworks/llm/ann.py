@@ -2,15 +2,17 @@
 
 Unit vectors are rotated at random; the signs of the coordinates, packed, are a
 vector's code, and the sum of the coordinates' sizes its correction scalar
-(RaBitQ: Gao and Long, 2024).  The inner product of a code and a rotated query
-comes from counts of common bits with the bit planes of the query's integer
-form; divided by the scalar it estimates the cosine without bias, within an
-error that the scalar bounds.  Vectors whose upper bound reaches the k-th best
-lower bound are compared exactly.
+(RaBitQ: Gao and Long, 2024).  The inner product of a code with a rotated query,
+divided by the scalar, estimates the cosine without bias, within an error that
+the scalar bounds.
 
 Equal vectors are one entry with their smallest ids, as many as an answer can
-hold.  Queries and entries are dealt into blocks of bounded size, and each pair
-of blocks is one unit of work.
+hold.  Codes and queries are dealt into blocks of bounded size, and each pair of
+blocks is one unit of work, which sees codes and scalars only.  There are two
+passes.  In the first the pairs of blocks give each query's best estimates; the
+best of all are compared exactly, which gives one bar for each query.  In the
+second the entries whose upper bound reaches the query's bar are found, and only
+they meet their vectors.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from pyspark.sql import types as T
 
 from .common import stored
 
-PLANES = 8
 #: Bits of a code for each component: the error falls with the square root.
-BITS = 4
+BITS = 8
 #: Standard deviations that the estimate's error may reach (beyond 4 in about one of 10,000 comparisons).
 ERROR_SPAN = 4.0
-ENTRIES, QUERIES = 8192, 2048
-ROWS, PAIRS = 64, 1 << 14
+ROUNDING = 1e-5  # of single precision
+#: Most entries and queries in a block (13 and 8 MB at 64 components), and fewest where cores would idle.
+ENTRIES, QUERIES, LEAST = 1 << 17, 1 << 14, 1 << 12
+#: Entries and queries that are compared at once.
+SLICE, ROWS = 2048, 1024
 
 
 @lru_cache(8)
@@ -44,75 +48,60 @@ def rotation(dim: int) -> np.ndarray:
     return np.ascontiguousarray((q * np.sign(np.diag(r)))[:dim])
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors other than zero times powers of two, so that the largest component is 0.5 to 1: no square of a norm over- or underflows, and no digit changes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
+
+
+def turn(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors, rotated."""
+    own = scaled(vectors)
+    return own / np.linalg.norm(own, axis=1, keepdims=True) @ rotation(vectors.shape[1])
+
+
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed codes[vector, word], correction scalars) of vectors other than zero."""
-    turned = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ rotation(vectors.shape[1])
-    dim = turned.shape[1]
-    words = -(-dim // 64)
-    bits = np.zeros((len(vectors), words * 64), np.uint8)
-    bits[:, :dim] = turned > 0
-    codes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-    return codes, np.abs(turned).sum(1) / np.sqrt(dim)
-
-
-def estimate(codes: np.ndarray, scalars: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(estimated cosines, their error bounds)[query, vector]."""
-    turned = queries / np.linalg.norm(queries, axis=1, keepdims=True) @ rotation(queries.shape[1])
-    dim = turned.shape[1]
-    low = turned.min(1, keepdims=True)
-    width = np.maximum((turned.max(1, keepdims=True) - low) / (2**PLANES - 1), 1e-12)
-    whole = np.rint((turned - low) / width).astype(np.uint8)
-    common = np.zeros((len(queries), len(codes)), np.float64)
-    for plane in range(PLANES):
-        bits = np.zeros((len(queries), codes.shape[1] * 64), np.uint8)
-        bits[:, :dim] = whole >> plane & 1
-        packed = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-        for w in range(codes.shape[1]):
-            common += np.bitwise_count(packed[:, w, None] & codes[None, :, w]) * float(2**plane)
-    ones = np.bitwise_count(codes).sum(1)
-    # <code, query> = (2 * sum over set bits - sum of all) / sqrt(dim), the query as low + width * whole
-    sums = 2 * (low * ones[None, :] + width * common) - (dim * low + width * whole.sum(1, keepdims=True, dtype=np.int64))
-    estimates = sums / np.sqrt(dim) / scalars
-    spread = np.sqrt(np.maximum(1 - scalars**2, 0)) / scalars / np.sqrt(max(dim - 1, 1))
-    return estimates, ERROR_SPAN * spread[None, :] + width * np.sqrt(dim) / 2 / scalars[None, :]
-
-
-def cosines(a: np.ndarray, rows: np.ndarray, b: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Of the pairs (a[row], b[found]), in double precision, PAIRS at a time."""
-    out = np.empty(len(rows))
-    for k in range(0, len(rows), PAIRS):
-        x, y = a[rows[k : k + PAIRS]], b[found[k : k + PAIRS]]
-        out[k : k + PAIRS] = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
-    return out
-
-
-def search(entries: np.ndarray, codes: np.ndarray, scalars: np.ndarray, counts: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, entries, cosines) that hold the k best rows, ties included; ``counts``: rows of each entry.
-
-    The entries of the best estimates are compared first; the k-th best of their
-    cosines is the bar that the others' upper bounds must reach.
-    """
-    for a in range(0, len(queries), ROWS):
-        some = queries[a : a + ROWS]
-        near, error = estimate(codes, scalars, some)
-        first = min(4 * k, len(entries))
-        best = np.argpartition(-near, first - 1, axis=1)[:, :first]
-        sure = cosines(some, np.repeat(np.arange(len(some)), first), entries, best.ravel()).reshape(best.shape)
-        bar = -np.partition(-sure, min(k, first) - 1, axis=1)[:, min(k, first) - 1]
-        row, found = np.nonzero(near + error >= bar[:, None] - 1e-12)
-        row, found = np.concatenate([row, np.repeat(np.arange(len(some)), first)]), np.concatenate([found, best.ravel()])
-        pairs = np.unique(row * len(entries) + found)
-        row, found = pairs // len(entries), pairs % len(entries)
-        exact = cosines(some, row, entries, found)
-        ends = np.cumsum(np.bincount(row, minlength=len(some)))
-        for i, (b, e) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)):
-            order = np.argsort(-exact[b:e], kind="stable")
-            score, own = exact[b:e][order], found[b:e][order]
-            last = int(np.searchsorted(np.cumsum(counts[own]), k))
-            if last < len(score):
-                keep = score >= score[last]
-                score, own = score[keep], own[keep]
-            yield a + i, own, score
+    """(packed codes[vector, byte], correction scalars) of vectors other than zero."""
+    turned = turn(vectors)
+    return np.packbits(turned > 0, axis=1, bitorder="little"), np.abs(turned).sum(1) / np.sqrt(turned.shape[1])
+
+
+def estimate(codes: np.ndarray, scalars: np.ndarray, turned: np.ndarray, span: float = ERROR_SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated cosines[query, vector], error bounds[vector]) of rotated queries."""
+    size = turned.shape[1]
+    ones = np.unpackbits(codes, axis=1, count=size, bitorder="little").astype(np.float32)
+    # <code, query> = (2 * sum over set bits - sum of all) / sqrt(size)
+    sums = 2 * (turned.astype(np.float32) @ ones.T) - turned.sum(1, keepdims=True).astype(np.float32)
+    spread = np.sqrt(np.maximum(1 - scalars**2, 0)) / scalars / np.sqrt(max(size - 1, 1))
+    return sums * (1 / (np.sqrt(size) * scalars)).astype(np.float32), span * spread + ROUNDING
+
+
+def best_estimates(codes: np.ndarray, scalars: np.ndarray, turned: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, entries, estimates) of the ``most`` entries of the best estimates of each query."""
+    for r in range(0, len(turned), ROWS):
+        some = turned[r : r + ROWS]
+        top, at = np.full((len(some), 0), 0.0, np.float32), np.zeros((len(some), 0), np.int64)
+        for s in range(0, len(codes), SLICE):
+            near = estimate(codes[s : s + SLICE], scalars[s : s + SLICE], some)[0]
+            top, at = np.concatenate([top, near], 1), np.concatenate([at, np.broadcast_to(np.arange(s, s + near.shape[1]), near.shape)], 1)
+            if top.shape[1] > most:
+                keep = np.argpartition(-top, most - 1, axis=1)[:, :most]
+                top, at = np.take_along_axis(top, keep, 1), np.take_along_axis(at, keep, 1)
+        yield np.repeat(np.arange(r, r + len(some)), top.shape[1]), at.ravel(), top.ravel()
+
+
+def survivors(codes: np.ndarray, scalars: np.ndarray, turned: np.ndarray, bars: np.ndarray, span: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, entries, estimates) whose upper bound reaches the query's bar."""
+    for r in range(0, len(turned), ROWS):
+        for s in range(0, len(codes), SLICE):
+            near, error = estimate(codes[s : s + SLICE], scalars[s : s + SLICE], turned[r : r + ROWS], span)
+            row, found = np.nonzero(near + error.astype(np.float32) >= bars[r : r + ROWS, None])
+            yield row + r, found + s, near[row, found]
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows, in double precision."""
+    a, b = scaled(a), scaled(b)
+    return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
 def usable(vector: Column) -> Column:
@@ -121,12 +110,16 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as bytes, with code and scalar."""
+def _floats(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column), np.float64).reshape(-1, dim)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the embedding, which comes first, by dimension, bytes, code and scalar."""
     for batch in batches:
-        vectors = batch.column("embedding")
+        vectors = batch.column(0)
         sizes = np.diff(vectors.offsets.to_numpy())
-        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
         begins = np.cumsum(sizes) - sizes
         codes: list[bytes] = [b""] * len(sizes)
         scalars = np.zeros(len(sizes))
@@ -135,68 +128,116 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed, scalars[rows] = encode(flat[begins[rows][:, None] + np.arange(dim)])
             for r, c in zip(rows.tolist(), packed, strict=True):
                 codes[r] = c.tobytes()
-        keys = [flat[b : b + n].tobytes() for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), batch.column("ids"), batch.column("query"), pa.array(codes, pa.binary()), pa.array(scalars)], names=["vector", "dim", "ids", "query", "code", "scalar"])
+        own = [flat[b : b + n].tobytes() for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes, pa.int32()), pa.array(own, pa.binary()), pa.array(codes, pa.binary()), pa.array(scalars)], names=[*batch.schema.names[1:], "dim", "vector", "code", "scalar"])
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 5) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the k rows of the largest cosine for each query row.
+def _packed(df: DataFrame, name: str) -> DataFrame:
+    """Rows with an embedding, numbered, packed and written."""
+    added = [T.StructField("dim", T.IntegerType()), T.StructField("vector", T.BinaryType()), T.StructField("code", T.BinaryType()), T.StructField("scalar", T.DoubleType())]
+    others = [c for c in df.columns if c != "embedding"]
+    out = df.select("embedding", *others).mapInArrow(_pack, T.StructType([*(df.schema[c] for c in others), *added]))
+    return stored(out.select(F.monotonically_increasing_id().alias("n"), "*"), name)
 
-    ``vectors`` has vec_id and embedding (an array of numbers); ``query`` says
-    which rows are queries.  A query's candidates are all rows but itself, of
-    its own dimension; nearest first, ties to the smaller vec_id; all of them if
-    there are fewer than k.  Rows whose vector is null, zero or holds null or
-    non-finite components, and rows without id, take no part.  Rows that repeat
-    both id and vector count once; rows that share an id only are different
-    rows.  Further columns are ignored; an empty table gives no rows.
-    """
-    spark, id_type = vectors.sparkSession, vectors.schema["vec_id"].dataType
-    rows = vectors.select("vec_id", "embedding", F.coalesce(query, F.lit(False)).alias("query")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    rows = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("embedding"), "query")
-    least = Window.partitionBy("embedding").orderBy("vec_id")
-    once = rows.groupBy("embedding", "vec_id").agg(F.max("query").alias("query"))
-    first = once.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
-    asked = once.where("query").select(F.col("embedding").alias("e")).distinct()
-    entries = first.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # at most k + 1
-    entries = entries.join(asked, entries["embedding"] == asked["e"], "left").select("embedding", "ids", F.col("e").isNotNull().alias("query"))
-    coded_schema = T.StructType([T.StructField("vector", T.BinaryType()), T.StructField("dim", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("query", T.BooleanType()), T.StructField("code", T.BinaryType()), T.StructField("scalar", T.DoubleType())])
-    index = stored(entries.mapInArrow(_code, coded_schema), "vector-index")
-    total = index.agg(F.count("*").alias("n"), F.count_if("query").alias("q")).first()
-    blocks, asked_blocks = max(1, -(-total["n"] // ENTRIES)), max(1, -(-total["q"] // QUERIES))
-
-    place = F.xxhash64("vector")
-    left = index.select("dim", F.pmod(place, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("asked"), "vector", "ids", "code", "scalar")
-    right = index.where("query").select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(place, F.lit(asked_blocks)).cast("int").alias("asked"), "vector")
-    found_schema = T.StructType([T.StructField("asked_vector", T.BinaryType()), T.StructField("vector", T.BinaryType()), T.StructField("vec_id", id_type), T.StructField("score", T.DoubleType())])
-
-    def compare(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(entries) or not len(queries):
-            return pd.DataFrame({f.name: [] for f in found_schema})
-        dim = int(entries["dim"].iloc[0])
 
-        def floats(column: pd.Series) -> np.ndarray:
-            return np.frombuffer(b"".join(column), np.float64).reshape(-1, dim)
+PAIRS = T.StructType([T.StructField("q", T.LongType()), T.StructField("e", T.LongType()), T.StructField("near", T.FloatType())])
 
-        codes = np.frombuffer(b"".join(entries["code"]), np.uint64).reshape(len(entries), -1)
-        counts = entries["ids"].map(len).to_numpy()
-        out = []
-        for q, own, score in search(floats(entries["vector"]), codes, entries["scalar"].to_numpy(), counts, floats(queries["vector"]), k + 1):
-            held = [(-s, i, e) for e, s in zip(own.tolist(), score.tolist(), strict=True) for i in entries["ids"].iat[e]]
-            out += [(queries["vector"].iat[q], entries["vector"].iat[e], i, -s) for s, i, e in sorted(held)[: k + 1]]
-        return pd.DataFrame(out, columns=found_schema.names)
 
+def _compared(codes: DataFrame, asked: DataFrame, blocks: tuple[int, int], work) -> DataFrame:
+    """Rows (q, e, near) that ``work`` finds in each pair of blocks."""
+
+    def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(entries) or not len(queries):
+            return pd.DataFrame({f.name: [] for f in PAIRS})
+        size = rotation(int(entries["dim"].iloc[0])).shape[1]
+        packed = np.frombuffer(b"".join(entries["code"]), np.uint8).reshape(len(entries), -(-size // 8))
+        e, q, out = entries["e"].to_numpy(), queries["q"].to_numpy(), []
+        for row, found, near in work(packed, entries["scalar"].to_numpy(), queries):
+            out.append(pd.DataFrame({"q": q[row], "e": e[found], "near": near}))
+        return pd.concat(out)
+
+    def each(column: str, n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(column)
+
+    left = codes.select("*", F.pmod(F.xxhash64("e"), F.lit(blocks[0])).cast("int").alias("block"), each("asked", blocks[1]))
+    right = asked.select("*", F.pmod(F.xxhash64("q"), F.lit(blocks[1])).cast("int").alias("asked"), each("block", blocks[0]))
     keys = ["dim", "block", "asked"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, found_schema)
-    best = Window.partitionBy("asked_vector").orderBy(F.desc("score"), "vec_id")
-    top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
-    as_bytes = T.StructType([T.StructField("query_id", id_type), T.StructField("asked_vector", T.BinaryType())])
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, PAIRS)
+
+
+def _exact(pairs: DataFrame, index: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows (q, ids, own, score) of pairs (q, e)."""
+    left = pairs.join(index.select(F.col("n").alias("e"), "ids", "a", "b", "vector"), "e")
+    both = left.join(asked.select(F.col("n").alias("q"), F.col("a").alias("qa"), F.col("b").alias("qb"), "dim", F.col("vector").alias("qv")), "q")
+    chosen = both.select("q", "ids", ((F.col("a") == F.col("qa")) & (F.col("b") == F.col("qb"))).alias("own"), "dim", "vector", "qv")
+    schema = T.StructType([*(chosen.schema[c] for c in ("q", "ids", "own")), T.StructField("score", T.DoubleType())])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [np.array(v, np.float64).tobytes() for v in batch.column("embedding").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(vectors, pa.binary())], names=as_bytes.names)
+            dims, score = batch.column("dim").to_numpy(), np.zeros(batch.num_rows)
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
+                score[rows] = cosines(*(_floats(batch.column(c).take(pa.array(rows)), dim) for c in ("qv", "vector")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], names=schema.names)
 
-    queries = once.where("query").select("vec_id", "embedding").mapInArrow(keyed, as_bytes)
-    others = queries.join(top, "asked_vector").where((F.col("vec_id") != F.col("query_id")) | (F.col("vector") != F.col("asked_vector")))
-    ranked = others.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "asked_vector").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return chosen.mapInArrow(run, schema)
+
+
+def nearest(vectors: DataFrame, query: Column, k: int = 5, *, error_span: float = ERROR_SPAN, block_entries: int = ENTRIES, block_queries: int = QUERIES) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): the k rows of the largest cosine for each query row.
+
+    ``vectors`` has vec_id and embedding (an array of numbers); ``query`` says
+    which rows are queries.  A query row's candidates are all rows but itself, of
+    its own dimension, rows that repeat its id and vector included; nearest
+    first, ties to the smaller vec_id; all of them if there are fewer than k.
+    Rows whose vector is null, zero or holds null or non-finite components, and
+    rows without id, take no part; components may be of any finite size.  Each
+    query row is answered, so rows that repeat give repeated answers.  Equal
+    vectors are told by two 64-bit hashes.  Further columns are ignored; an empty
+    table gives no rows.
+
+    A neighbour is missed only if its estimate errs by more than ``error_span``
+    standard deviations; with an infinite span every pair is compared exactly.
+    A block holds about ``block_entries`` codes or ``block_queries`` queries.
+    """
+    spark, id_type = vectors.sparkSession, vectors.schema["vec_id"].dataType
+    rows = vectors.select("vec_id", "embedding", F.coalesce(query, F.lit(False)).alias("query")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    rows = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("embedding"), "query")
+    rows = rows.select("*", F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b"))
+    least = Window.partitionBy("a", "b").orderBy("vec_id")
+    first = rows.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)  # an answer, and the query itself
+    index = _packed(first.groupBy("a", "b").agg(F.first("embedding").alias("embedding"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "vector-index")
+    asked = _packed(rows.where("query").groupBy("a", "b").agg(F.first("embedding").alias("embedding")), "vector-queries")
+
+    n, m, cores = index.count(), asked.count(), spark.sparkContext.defaultParallelism
+    asked_blocks = max(1, -(-m // block_queries))
+    blocks = max(1, -(-n // block_entries), min(-(-n // LEAST), 2 * cores // asked_blocks))
+    codes = index.select("dim", F.col("n").alias("e"), "code", "scalar")
+    turned = asked.select("dim", F.col("n").alias("q"), "vector")
+    first_most, all_most = k + 1, 4 * (k + 1)
+
+    def guess(codes: np.ndarray, scalars: np.ndarray, queries: pd.DataFrame):
+        return best_estimates(codes, scalars, turn(_floats(queries["vector"], int(queries["dim"].iloc[0]))), first_most)
+
+    def meet(codes: np.ndarray, scalars: np.ndarray, queries: pd.DataFrame):
+        return survivors(codes, scalars, turn(_floats(queries["vector"], int(queries["dim"].iloc[0]))), queries["bar"].to_numpy(), error_span)
+
+    best = Window.partitionBy("q").orderBy(F.desc("near"), "e")
+    guessed = _compared(codes, turned, (blocks, asked_blocks), guess).withColumn("r", F.row_number().over(best)).where(F.col("r") <= all_most).select("q", "e")
+    tried = stored(guessed, "vector-guesses")
+    so_far = Window.partitionBy("q").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = _exact(tried, index, asked).select("q", "score", F.sum(F.size("ids")).over(so_far).alias("sum"))
+    bars = summed.groupBy("q").agg((F.coalesce(F.max(F.when(F.col("sum") > k, F.col("score"))), F.lit(-2.0)) - ROUNDING).alias("bar"))
+    found = _compared(codes, turned.join(stored(bars, "vector-bars"), "q"), (blocks, asked_blocks), meet)
+    pairs = found.select("q", "e").union(tried).distinct()
+
+    each = _exact(pairs, index, asked).select("q", "own", "score", F.explode("ids").alias("vec_id"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    top = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    lists = top.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score", "own"))).alias("top"))
+    lists = lists.join(asked.select(F.col("n").alias("q"), "a", "b"), "q").select("a", "b", "top")
+    answers = rows.where("query").select(F.col("vec_id").alias("query_id"), "a", "b").join(lists, ["a", "b"])
+    own = F.array_position(F.transform("top", lambda x: x["own"] & (x["vec_id"] == F.col("query_id"))), True)  # the query itself, 0 if it isn't there
+    others = F.filter("top", lambda x: x["r"] != own).alias("top")
+    ranked = answers.select("query_id", others).select("query_id", F.posexplode(F.slice("top", 1, k)).alias("rank", "x"))
+    return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").cast(id_type).alias("vec_id"), "x.score")

@@ -6,6 +6,7 @@ import re
 from html import unescape
 
 import numpy as np
+import pytest
 from loamworks.llm import ann, html_extract, queries
 from pyspark.sql import functions as F
 
@@ -81,50 +82,78 @@ def test_extract_edge(spark):
 
 
 def brute(rows, mod, k):
-    seen = []
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and (i, v) not in seen:
-            seen.append((i, v))
-    out = {}
-    for i, v in seen:
+    """Answers of each query row, as (query id, answer) in order."""
+    seen = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    units = [np.array(v) / np.abs(v).max() for _, v in seen]
+    units = [u / np.linalg.norm(u) for u in units]
+    out = []
+    for a, (i, _) in enumerate(seen):
         if i % mod == 0:
-            own = [(-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 12), j) for j, w in seen if len(w) == len(v) and (j, w) != (i, v)]
-            out[i] = [(j, -s) for s, j in sorted(own)[:k]]
-    return out
+            own = [(-round(float(np.dot(units[a], u)), 11), seen[b][0]) for b, u in enumerate(units) if len(u) == len(units[a]) and a != b]
+            out.append((i, [(j, -s) for s, j in sorted(own)[:k]]))
+    return sorted(out)
 
 
 def found(df):
+    """The same of a result: rows of a query id, dealt to its answers by rank."""
     out = {}
-    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
-        assert r["rank"] == len(out.setdefault(r["query_id"], [])) + 1
-        out[r["query_id"]].append((r["vec_id"], round(r["score"], 12)))
-    return out
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"], r["vec_id"])):
+        out.setdefault(r["query_id"], {}).setdefault(r["rank"], []).append((r["vec_id"], round(r["score"], 11)))
+    answers = []
+    for q, ranks in out.items():
+        assert sorted(ranks) == list(range(1, len(ranks) + 1))
+        answers += [(q, list(own)) for own in zip(*(ranks[r] for r in sorted(ranks)), strict=True)]
+    return sorted(answers)
 
 
-def test_nearest_against_brute_force(spark):
+def vectors():
     rng = np.random.default_rng(3)
     rows = [(i, rng.standard_normal(20).round(3).tolist()) for i in range(250)]
     rows += [(1000 + i, rows[50][1]) for i in range(40)] + [(2000, None), (2050, [0.0] * 20), (2100, [float("nan")] * 20), (2150, [1.0, None]), (2160, [float("inf")] * 20), (None, rows[1][1])]
-    rows += [(3000, [1.0, 2.0]), (3001, [1.0, 2.0]), (3002, [1.0, -1.0]), (3050, [3.0]), (2250, []), rows[100], (201, rows[7][1])]
+    return rows + [(3000, [1.0, 2.0]), (3001, [1.0, 2.0]), (3002, [1.0, -1.0]), (3050, [3.0]), (2250, []), rows[100], (201, rows[7][1])]
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_entries": 40, "block_queries": 3}, {"error_span": float("inf")}])
+def test_nearest_against_brute_force(spark, blocks):
+    rows = vectors()
     df = spark.createDataFrame([(*r, "z", "z") for r in rows], "vec_id long, embedding array<double>, vector string, score string")
-    got, want = found(ann.nearest(df, F.col("vec_id") % 50 == 0)), brute(rows, 50, 5)
-    for q, best in want.items():
-        assert [s for _, s in got.get(q, [])] == [round(s, 12) for _, s in best] and [j for j, _ in got.get(q, [])] == [j for j, _ in best]
+    assert found(ann.nearest(df, F.col("vec_id") % 50 == 0, **blocks)) == [(q, a) for q, a in brute(rows, 50, 5) if a]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_vectors_of_any_size(spark):
+    rows = [(0, [1e-200, 2e-200]), (50, [1e200, 1e200]), (1, [1.0, 2.1]), (2, [3e-310, 1e-310]), (3, [-1e308, 1e308]), (4, [1.0, 0.9]), (100, [0.0, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(ann.nearest(df, F.col("vec_id") % 50 == 0, 3))
+    assert got == brute(rows, 50, 3) and all(np.isfinite(s) for _, a in got for _, s in a)
+
+
+def test_rows_that_repeat_are_candidates(spark):
+    rows = [(50, [1.0, 0.0])] * 3 + [(7, [0.0, 1.0]), (51, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = found(ann.nearest(df, F.col("vec_id") % 50 == 0, 2))
+    assert got == brute(rows, 50, 2) and got.count((50, [(50, 1.0), (50, 1.0)])) == 3
+
+
 def test_estimates_are_within_their_bounds():
     rng = np.random.default_rng(5)
     for dim in (8, 64, 100):
         a, q = rng.standard_normal((800, dim)), rng.standard_normal((40, dim))
-        near, error = ann.estimate(*ann.encode(a), q)
+        near, error = ann.estimate(*ann.encode(a), ann.turn(q))
         exact = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (a / np.linalg.norm(a, axis=1, keepdims=True)).T
         assert (np.abs(near - exact) <= error).mean() > 0.999 and abs((near - exact).mean()) < 0.02
 
 
-def test_op3_recall(spark, small):
-    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
-    got, want = found(queries.op3_nearest(spark, small)), brute(rows, 50, 5)
-    assert got.keys() == want.keys()
-    hits = [len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want]
-    assert sum(hits) >= 0.95 * 5 * len(want)
+def test_op3_recall(spark):
+    """Over several blocks, on vectors in clusters, and on the given table."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((30, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(centres[rng.integers(0, 30, 6000)] + 0.7 * rng.standard_normal((6000, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    given = "/root/testdata/sf0.1"
+    own = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{given}/embeddings.parquet").collect()]
+    for got, all_rows in ((ann.nearest(df, F.col("vec_id") % 50 == 0, block_entries=700, block_queries=50), rows), (queries.op3_nearest(spark, given), own)):
+        answers, want = dict(found(got)), dict(brute(all_rows, 50, 5))
+        assert answers.keys() == want.keys()
+        hits = [len({j for j, _ in answers[q]} & {j for j, _ in want[q]}) for q in want]
+        assert sum(hits) >= 0.99 * 5 * len(want)
