@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp, inf, log1p
@@ -30,13 +31,16 @@ ROUNDS = 3
 FLOOR = 1e-7
 LONG_SLICE = 1 << 16
 CACHED_WORDS = 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")  # of letters and of number signs other than digits
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _LETTERS.findall(text.lower())
+    """Runs of letters (general category L), lower-cased."""
+    found = _RUNS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 class Pieces:
@@ -257,34 +261,37 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
-def training_counts(docs: DataFrame, texts_per_language: int, words_per_language: int) -> list[tuple[str, str, int]]:
-    """(language, word, count) of the texts with the least hashes of each language, its most frequent words.
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = Counter((lang, w) for lang, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True) for w in words(t))
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], pa.string()) for i in (0, 1)] + [pa.array(found.values(), pa.int64())], names=["lang", "word", "n"])
 
-    Bounded by the two parameters times the number of languages.
+
+def training_counts(docs: DataFrame, texts_per_language: int) -> list[tuple[str, str, int]]:
+    """(language, word, count) of the texts with the least hashes of each language, all their words, in order.
+
+    Bounded by the words of ``texts_per_language`` times the languages' texts.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     picked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("doc_id", "lang").withColumn("r", F.row_number().over(picked)).where(F.col("r") <= texts_per_language).select("doc_id", "lang").distinct()
     texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # at most texts_per_language ids a language
-    each = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word"))
-    counted = each.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counted.withColumn("r", F.row_number().over(frequent)).where(F.col("r") <= words_per_language)
-    return [(r["lang"], r["word"], r["n"]) for r in top.select("lang", "word", "n").toLocalIterator()]
+    counted = texts.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return sorted((r["lang"], r["word"], r["n"]) for r in counted.toLocalIterator())
 
 
-def identify(docs: DataFrame, vocabulary_path: str, *, texts_per_language: int = 200, words_per_language: int = 30_000) -> DataFrame:
+def identify(docs: DataFrame, vocabulary_path: str, *, texts_per_language: int = 200) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score) of documents (doc_id, text, lang), one for each row.
 
     Learns from texts and non-null languages of documents that aren't held out
-    (crc32 of the id mod 5 is not 0): of each language at most
-    ``texts_per_language`` texts and of their words, of any length, the
-    ``words_per_language`` most frequent.  Predictions see the whole text alone.  ``score`` is the
-    language's posterior under equal priors.  Texts that are null or have no
-    letter get ``und`` and 0, as do all if nothing can be learned; ties go to
-    the first language by name; further columns are ignored.
+    (crc32 of the id mod 5 is not 0): of each language all words of at most
+    ``texts_per_language`` texts.  Predictions see the whole text alone.
+    ``score`` is the language's posterior under equal priors.  Texts that are
+    null or have no letter (number signs such as a half or a circled one are
+    none) get ``und`` and 0, as do all if nothing can be learned; ties go to the
+    first language by name; further columns are ignored.
     """
-    names, p = fit(training_counts(docs, texts_per_language, words_per_language), vocabulary_path)
+    names, p = fit(training_counts(docs, texts_per_language), vocabulary_path)
     p = p.astype(np.float64)
     key = f"{vocabulary_path}:{hash(p.tobytes())}"
     shared = docs.sparkSession.sparkContext.broadcast(p)  # languages times pieces

@@ -31,6 +31,8 @@ NEIGHBOURS = 25
 SHARPNESS = 4
 BLOCK = 256
 UNSURE = 0.5
+#: Cosines that differ by less are ties.
+SAME = 1e-7
 
 
 @lru_cache(1)
@@ -81,60 +83,63 @@ def term_counts(texts: list[str]) -> np.ndarray:
 
 def latent(counts: np.ndarray, used: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Unit vectors of texts; those of texts without known terms are zero."""
-    x = np.log1p(counts[:, used]) * weights
+    x = np.log1p(counts[:, used].astype(np.float64)) * weights
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     z = x @ basis
     norm = np.linalg.norm(z, axis=1, keepdims=True)
-    return np.where(norm > 1e-9, z / np.maximum(norm, 1e-9), 0).astype(np.float32)
+    return np.round(np.where(norm > 1e-9, z / np.maximum(norm, 1e-9), 0), 9)  # alike whatever else is in the block
 
 
 def fit(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(terms that occur, their rarity, the leading right singular vectors by subspace iteration)."""
     used = np.flatnonzero(counts.any(0))
     counts, n = counts[:, used], len(counts)
-    weights = (np.log((1 + n) / (1 + (counts > 0).sum(0))) + 0.2).astype(np.float32)
-    x = np.log1p(counts) * weights
+    weights = np.log((1 + n) / (1 + (counts > 0).sum(0))) + 0.2
+    x = np.log1p(counts.astype(np.float64)) * weights
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rank = min(RANK, n, len(used))
-    q = np.linalg.qr(x.T @ np.random.default_rng(0).standard_normal((n, rank + 8)).astype(np.float32))[0]
+    q = np.linalg.qr(x.T @ np.random.default_rng(0).standard_normal((n, rank + 8)))[0]
     for _ in range(5):
         q = np.linalg.qr(x.T @ (x @ q))[0]
     _, _, v = np.linalg.svd(x @ q, full_matrices=False)
-    return used, weights, (q @ v.T)[:, :rank].astype(np.float32)
+    return used, weights, (q @ v.T)[:, :rank]
 
 
 def vote(vectors: np.ndarray, neighbours: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Scores of unit vectors by the labels of the nearest unit vectors, weighted by a power of their cosines."""
+    """Scores of unit vectors by the labels of the nearest unit vectors, weighted by a power of their cosines.
+
+    All that are as near as the last of NEIGHBOURS vote, so no order matters.
+    """
     out = np.full(len(vectors), UNSURE)
     k = min(NEIGHBOURS, len(neighbours))
     for a in range(0, len(vectors), BLOCK):
         cosines = vectors[a : a + BLOCK] @ neighbours.T
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** SHARPNESS
-        total = w.sum(1)
-        with np.errstate(invalid="ignore"):
-            out[a : a + BLOCK] = np.where(total > 0, (w * labels[near]).sum(1) / total, UNSURE)
-    return np.clip(out, 0, 1)
+        last = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+        row, near = np.nonzero(cosines >= last - SAME)
+        w = np.maximum(cosines[row, near], 0) ** SHARPNESS
+        total, ones = (np.bincount(row, x, len(cosines)) for x in (w, w * labels[near]))
+        out[a : a + BLOCK] = np.where(total > 0, ones / np.where(total > 0, total, 1), UNSURE)
+    return np.round(np.clip(out, 0, 1), 9)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches, "text", 1 << 18):
         rows = [x.tobytes() for x in term_counts(texts)]
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.binary())], names=["quality", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("quality"), pa.array(rows, pa.binary())], names=["place", "quality", "counts"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, labels) of the labelled texts with the least hashes, at most ``per_label`` of each label."""
+    """(counts, labels) of the labelled ids with the least hashes, at most ``per_label`` of each label, in that order; of a repeated id the least text."""
     own = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = own.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("doc_id", "quality")
+    chosen = own.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_label rows
-    once = texts.dropDuplicates(["doc_id", "quality"])
-    found = once.mapInArrow(_features, "quality int, counts binary").toLocalIterator()
-    rows = [(r["quality"], np.frombuffer(r["counts"], np.float32)) for r in found]
+    once = texts.groupBy("place", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = once.mapInArrow(_features, "place int, quality int, counts binary").toLocalIterator()
+    rows = sorted((r["place"], r["quality"], bytes(r["counts"])) for r in found)
     if not rows:
         return np.zeros((0, TERMS), np.float32), np.zeros(0)
-    return np.stack([c for _, c in rows]), np.array([q for q, _ in rows], float)
+    return np.stack([np.frombuffer(c, np.float32) for *_, c in rows]), np.array([q for _, q, _ in rows], float)
 
 
 def score(docs: DataFrame, labels: DataFrame, *, per_label: int = 1500, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -143,9 +148,10 @@ def score(docs: DataFrame, labels: DataFrame, *, per_label: int = 1500, keep: tu
     Learns from labels of documents that aren't held out (crc32 of the id mod 5
     is not 0), at most ``per_label`` of each label; a score is made from the
     whole text alone.  Texts without any term (null, empty, one character), and
-    all texts where there are no labels, get UNSURE.  Ties among neighbours are
-    broken arbitrarily but alike.  Further columns are ignored unless ``keep``
-    names them; repeated rows give repeated rows.
+    all texts where there are no labels, get UNSURE.  Neighbours that tie with
+    the last all vote; the order of rows, in documents and labels, changes
+    nothing.  Further columns are ignored unless ``keep`` names them; repeated
+    rows give repeated rows.
     """
     counts, quality = sample(docs, labels, per_label)
     if len(counts):

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import collections
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import regex
 from loamworks.llm import langid, quality, queries
 
-from .conftest import edge_texts
+from pyspark.sql import functions as F
+
+from .conftest import by_row, edge_texts
 
 PIECES = P.path("piece_bpe_32k.model")
 
@@ -78,14 +82,61 @@ def test_op1_held_out_accuracy(spark):
 
 
 def test_langid_edge(spark, edge_docs, no_docs):
-    got = langid.identify(edge_docs, PIECES, texts_per_language=20, words_per_language=500).collect()
+    got = langid.identify(edge_docs, PIECES, texts_per_language=20).collect()
     assert len(got) == len(edge_texts()) + 1
-    assert sum(r["lang_pred"] == "und" and r["score"] == 0 for r in got) == sum(not langid.words(t or "") for t in edge_texts())
+    assert sum(r["lang_pred"] == "und" and r["score"] == 0 for r in got) == sum(not regex.search(r"\p{L}", t or "") for t in edge_texts())
     unknown = edge_docs.withColumn("lang", edge_docs["source"])
     assert {r["lang_pred"] for r in langid.identify(unknown, PIECES).collect()} == {"und"}
     assert langid.identify(no_docs, PIECES).count() == 0
 
 
+def test_only_letters_are_letters(spark):
+    signs = "½ ²³ ① Ⅷ 12 _ x² é́a ªb"
+    assert langid.words(signs) == regex.findall(r"\p{L}+", signs.lower()) == ["x", "é", "a", "ªb"]
+    rows = [(1, "½ ²³ ①", None), (2, "Ⅷ 12 _", None), (3, "the x²", None)] + [(i, "the other words", "en") for i in range(4, 20)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3] == ("en", 1.0)
+
+
+def splits(word, vocabulary):
+    """All segmentations, as lists of pieces' ids."""
+    if not word:
+        yield []
+    for k in range(1, len(word) + 1):
+        i = vocabulary.ids.get(word[:k], langid.UNKNOWN if k == 1 else -1)
+        if i >= 0:
+            for rest in splits(word[k:], vocabulary):
+                yield [i, *rest]
+
+
+def test_identify_against_brute_force(spark):
+    texts = {"en": ["the cat is there", "then the hat"], "de": ["der hut ist da", "die katze"], "fr": ["le chat est là", "un chapeau ½"]}
+    rows, own = [], [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    for lang, some in texts.items():
+        rows += [(own.pop(), t, lang) for t in some * 2]
+    rows += [(i, t, "xx") for i, t in zip([i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0], ["the hut", "chat là", "katze Ⅷ the", "① 3"])]
+    vocabulary, names = langid.pieces(PIECES), sorted(texts)
+    counts = {n: collections.Counter(w for _, t, lang in rows if lang == n for w in regex.findall(r"\p{L}+", t.lower())) for n in names}
+    p = {n: np.full(vocabulary.size, 1 / vocabulary.size) for n in names}
+    for _ in range(langid.ROUNDS):
+        for n in names:
+            total = np.zeros(vocabulary.size)
+            for w, c in counts[n].items():
+                every = list(splits(langid.MARK + w, vocabulary))
+                weights = np.array([np.prod(p[n][s]) for s in every])
+                for s, x in zip(every, weights / weights.sum()):
+                    np.add.at(total, s, c * x)
+            total += langid.FLOOR * total.sum()
+            p[n] = total / total.sum()
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()}
+    for i, t, _ in rows:
+        found = regex.findall(r"\p{L}+", t.lower())
+        logs = np.array([sum(np.log(sum(np.prod(p[n][s]) for s in splits(langid.MARK + w, vocabulary))) for w in found) for n in names])
+        share = np.exp(logs - logs.max())
+        want = (names[int(logs.argmax())], 1 / share.sum()) if found else ("und", 0.0)
+        assert got[i]["lang_pred"] == want[0] and np.isclose(got[i]["score"], want[1])
+
+
 def test_vote_is_exact():
     rng = np.random.default_rng(0)
     near, some, labels = rng.standard_normal((80, 6)), rng.standard_normal((50, 6)), rng.integers(0, 2, 80).astype(float)
@@ -116,6 +167,56 @@ def test_op9_held_out(spark):
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > 0.93
 
 
+def slow_counts(text):
+    """Terms of one text, one at a time."""
+    raw, out = text.encode(), np.zeros(quality.TERMS)
+    kinds = quality.byte_classes()
+    for a, b in zip(raw, raw[1:]):
+        out[kinds[a] * quality.CLASSES + kinds[b]] += 1
+    words = raw.split()
+    repeats = sum(a == b for a, b in zip(words, words[1:]))
+    out[quality.PAIRS] = repeats
+    share = min(100 * repeats // len(words), 99) if words else 0
+    if share:
+        out[quality.PAIRS + 1 + min(int(np.ceil(np.log2(share + 1))), 7)] = len(words)
+    return out
+
+
+def test_score_against_brute_force(spark):
+    """The space of few texts is that of all of them, so projections and votes can be made one by one."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdefgh XY,.1")) if i % 2 else rng.choice(list("mnopqrst ,."))  for _ in range(60)) + " la la" * (i % 3) for i in range(70)] + ["", "a"]
+    labelled = [i for i in range(70) if zlib.crc32(str(i).encode()) % 5][:40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in labelled] + [(i, 1) for i in range(70) if zlib.crc32(str(i).encode()) % 5 == 0], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, labels).collect()}
+    counts = np.stack([slow_counts(texts[i]) for i in labelled])
+    weights = np.where(counts.any(0), np.log((1 + len(labelled)) / (1 + (counts > 0).sum(0))) + 0.2, 0)
+
+    def unit(x):
+        return x / n if (n := np.linalg.norm(x)) > 1e-9 else x * 0
+
+    space = np.stack([unit(np.log1p(c) * weights) for c in counts])
+    project = np.linalg.pinv(space) @ space
+    near = np.stack([unit(project @ x) for x in space])
+    for i, t in enumerate(texts):
+        z = unit(project @ unit(np.log1p(slow_counts(t)) * weights))
+        cosines = near @ z
+        top = np.argsort(-cosines)[: quality.NEIGHBOURS]
+        w = np.maximum(cosines[top], 0) ** quality.SHARPNESS
+        want = (w * np.array([labelled[j] % 2 for j in top])).sum() / w.sum() if w.sum() > 0 else quality.UNSURE
+        assert np.isclose(got[i], want, atol=1e-6), (i, t)
+
+
+def test_scores_do_not_depend_on_the_order_of_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    some = docs.select("doc_id", "text").union(docs.selectExpr("doc_id", "reverse(text)").where("doc_id % 3 = 0"))
+    first = quality.score(some, labels, keep=("doc_id", "text"))
+    again = quality.score(some.orderBy(F.desc("text")).repartition(3), labels.orderBy(F.rand(4)), keep=("doc_id", "text"))
+    assert by_row(first, "doc_id", "text", "score") == by_row(again, "doc_id", "text", "score")
+
+
 def test_quality_edge(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2, None, "z") for i in range(1, 18)] + [(None, 1, None, None), (4, None, 1, "z"), (7, 5, 1, "z")], "doc_id long, quality int, toxic int, score string")
     got = quality.score(edge_docs, labels).collect()
