@@ -42,9 +42,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row: the smallest id, rows without id last, and of equal ids the least text hash (equal texts: any)."""
     own = _apart(docs).withColumn("digest", F.xxhash64("text"))
     kept = stored(representatives(own), "kept")
-    same = own["doc_id"].eqNullSafe(kept["kept_id"]) & (own["digest"] == kept["kept_digest"])
-    out = own.join(kept.hint("shuffle_hash"), same, "left_semi")  # ids grow with the documents: never broadcast, texts unsorted
-    return _back(out.dropDuplicates(["doc_id", "digest"]) if kept.where("n > 1").take(1) else out, docs)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # rows that this makes equal have one text, so one of them stays
+    wanted = kept.select(F.coalesce(F.col("kept_id").cast("string"), F.lit("")).alias("id_key"), F.col("kept_digest").alias("digest"))
+    out = own.withColumn("id_key", key).join(wanted.hint("shuffle_hash"), ["id_key", "digest"], "left_semi")  # ids grow with the documents: never broadcast
+    return _back(out.dropDuplicates(["id_key", "digest"]), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
