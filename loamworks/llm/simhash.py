@@ -7,7 +7,9 @@ radius 1: a perfect Hamming code on its low 15 bits, all words on the others.
 If x and y differ by at most one bit there, x's nearest anchor lies within 1 of
 x and within 2 of y; so every fingerprint goes to each anchor within covering
 radius plus threshold (15 or 16 of them a segment), and linked fingerprints meet
-at an anchor.  There whole fingerprints are compared, each group for itself.
+at an anchor.  There whole fingerprints are compared, each group for itself; a
+group of more than GROUP fingerprints is cut into blocks, and each pair of its
+blocks is a group.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, width
 CODE_BITS = 15
 SHIFTED_GROUP = 48
 ROWS_AT_ONCE = 1 << 18
+GROUP = 1 << 15
+ANCHORS = 3 << 18  # at most: 2 ** 17 or 2 ** 18 code words a segment
 
 
 def fingerprint(text: str) -> int:
@@ -168,12 +172,31 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(anchor, prints)
 
 
-def _rooted(classes: DataFrame) -> DataFrame:
-    """Rows of distinct fingerprints, each with the root of its component."""
+def place(classes: DataFrame, most: int = GROUP) -> DataFrame:
+    """Rows (unit, fingerprint): the fingerprints that are to be compared with each other.
+
+    A unit is an anchor, or a pair of blocks of the fingerprints at an anchor
+    that has more than ``most`` of them.
+    """
     placed = classes.select(F.explode(anchors(F.col("fingerprint"))).alias("anchor"), "fingerprint")
-    links = placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_link, LINKS)
-    roots = connected_components(links).withColumnsRenamed({"node": "fingerprint"})
-    return classes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    large = stored(placed.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most), "large-anchors")
+    blocks = large.select("anchor", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    both = placed.join(F.broadcast(blocks), "anchor", "left")  # at most ANCHORS rows
+    own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != own)
+    pairs = F.transform(others, lambda x: F.shiftleft(F.least(x, own).cast("long"), 24) + F.shiftleft(F.greatest(x, own).cast("long"), 43))
+    units = both.select(F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("pair"), "anchor", "fingerprint")
+    return units.select((F.col("anchor") + F.col("pair")).alias("unit"), "fingerprint")
+
+
+def _named(classes: DataFrame) -> DataFrame:
+    """Rows (fingerprint, root, least) of rows (fingerprint, least) of distinct fingerprints: the root of its component, and the least of all there."""
+    links = place(classes).repartition("unit").sortWithinPartitions("unit").mapInArrow(_link, LINKS)
+    linked = stored(classes.join(connected_components(links).withColumnsRenamed({"node": "fingerprint"}), "fingerprint"), "linked-classes")
+    best = stored(linked.groupBy("root").agg(F.min("least").alias("best")), "least-of-components")  # a table, so that a large component can be split in the join
+    named = linked.select("fingerprint", "root").join(best, "root").select("fingerprint", "root", "best")
+    every = classes.join(named, "fingerprint", "left")
+    return stored(every.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("best")).alias("least")), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -188,24 +211,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     length; further columns are ignored; no documents give no rows.
     """
     prints = stored(fingerprints(docs), "fingerprints")
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    rooted = _rooted(classes)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fingerprint", "component_id")
-    joined = prints.join(named, "fingerprint")
+    named = _named(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    joined = prints.join(named.select("fingerprint", F.col("least").alias("component_id")), "fingerprint")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """Rows (kept_id, kept_digest, n), one for each component of documents (doc_id, text, digest).
+    """Rows (kept_id, kept_digest), one for each component of documents (doc_id, text, digest).
 
     The least (doc_id, digest) of the component's rows, null ids after all
-    others, and the number of rows that have both; ``digest`` tells texts of the
-    same id apart.
+    others; ``digest`` tells texts of the same id apart.
     """
     prints = stored(fingerprints(docs, "digest"), "fingerprints")
-    each = prints.groupBy("fingerprint", "doc_id", "digest").agg(F.count("*").alias("n"))
-    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "n")
-    rooted = _rooted(stored(each.groupBy("fingerprint").agg(F.min(first).alias("least")), "classes"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("b"))
-    return best.select(F.col("b.doc_id").alias("kept_id"), F.col("b.digest").alias("kept_digest"), "b.n")
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    named = _named(stored(prints.groupBy("fingerprint").agg(F.min(first).alias("least")), "classes"))
+    return named.where(F.col("root") == F.col("fingerprint")).select(F.col("least.doc_id").alias("kept_id"), F.col("least.digest").alias("kept_digest"))

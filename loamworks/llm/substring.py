@@ -8,11 +8,13 @@ equal windows always meet at equal anchors (about one word in fifteen is one).
 1.  Every text gives its digest and its anchors (hash, place, and how far the
     windows that it stands for reach to its left and right).
 2.  Anchors whose hash occurs once in all texts are dropped.  Copies of a text
-    take part once; each text that has a copy goes as a whole.
+    take part once; each text that has a copy goes as a whole.  Only numbers of
+    texts and digests meet for that, never the texts.
 3.  The anchors' eight words are the prefix that deals suffixes into groups.  A
     prefix that is too frequent for one group's memory is lengthened to all 35
     words of each window; such a subtree is a single node, so counting its
-    leaves is enough, and that is aggregated before the shuffle.
+    leaves is enough, and that is aggregated before the shuffle.  (Lengths in
+    between would deal the same windows out again and find nothing more.)
 4.  In each group the suffixes are sorted; their common prefixes give the
     subtree's internal nodes.  Among the suffixes below a node, the words to the
     left are treated alike.  Common words to the left and right of 35 or more
@@ -36,7 +38,7 @@ from .common import slices, stored
 WINDOW = 35
 PREFIX = 8
 SPAN = WINDOW - PREFIX + 1
-GROUP_ROWS = 50_000  # some tens of megabytes
+GROUP_ROWS = 4096  # some megabytes
 EMPTY_SHA = hashlib.sha256(b"").digest()
 
 _BYTE = np.random.default_rng(1).integers(0, 2**64, 256, dtype=np.uint64)
@@ -267,38 +269,33 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(rows(), SPANS)
 
 
-CUT = T.StructType([T.StructField("_uid", T.LongType()), T.StructField("_removed", T.LongType()), T.StructField("_sha", T.BinaryType()), T.StructField("_kept", T.BinaryType())])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words outside the spans."""
-    import zstandard
-
-    zip_ = zstandard.ZstdCompressor(3).compress
-
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for words, uid, spans in zip(_texts(batch), batch.column("_uid").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                kept, at = [], 0
-                for s in sorted((s["start"], s["end"]) for s in spans):
-                    kept += words[at : s[0]]
-                    at = max(at, s[1])
-                kept += words[at:]
-                line = b" ".join(kept)
-                yield uid, len(words) - len(kept), hashlib.sha256(line).digest(), zip_(line)
-
-    yield from _batches(rows(), CUT)
-
-
-def _text(batches: Iterator[pa.RecordBatch], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], columns: list[str], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """The columns, n_words, n_removed, kept_sha256 and the text of rows with their spans."""
     import zstandard
 
     unzip = zstandard.ZstdDecompressor().decompress
+    names = [*columns, *["text"] * with_text, "n_words", "n_removed", "kept_sha256"]
     for whole in batches:
         for k in range(0, whole.num_rows, 256):
             batch = whole.slice(k, 256)
-            texts = [None if p is None else unzip(p).decode() for p in batch.column("_packed").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema], names=schema.names)
+            counts, removed, texts, shas = batch.column("_n").to_pylist(), [], [], []
+            for n, digest, packed, copied, spans in zip(counts, *(batch.column(c).to_pylist() for c in ("_digest", "_packed", "_copied", "_spans")), strict=True):
+                if copied and n >= WINDOW:
+                    gone, line, digest = n, b"", EMPTY_SHA
+                elif spans:
+                    words, kept, at = unzip(packed).split(), [], 0
+                    for start, end in sorted((x["start"], x["end"]) for x in spans):
+                        kept += words[at:start]
+                        at = max(at, end)
+                    kept += words[at:]
+                    gone, line = n - len(kept), b" ".join(kept)
+                    digest = hashlib.sha256(line).digest()
+                else:
+                    gone, line = 0, unzip(packed) if with_text and packed is not None else None
+                removed.append(gone)
+                shas.append(digest.hex())
+                texts.append(None if line is None else line.decode())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *[pa.array(texts, pa.string())] * with_text, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas)], names=names)
 
 
 def remove_repeats(docs: DataFrame, *, with_text: bool = True, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -314,40 +311,33 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = True, group_rows: int =
     come along, null or not, but for names of the new ones, which are replaced.
     ``group_rows``: how many suffixes one subtree may hold.
     """
-    import zstandard
-
-    new, nothing = ["n_words", "n_removed", "kept_sha256"], zstandard.ZstdCompressor().compress(b"")
+    new = ["n_words", "n_removed", "kept_sha256"]
     carried = [c for c in docs.columns if c not in (*new, "text")]
     columns = [f"own_{i}" for i in range(len(carried))]  # so that no name clashes
     index = _index(docs.select(*(docs[f"`{c}`"].alias(o) for c, o in zip(carried, columns, strict=True)), "text"))
-    copies = index.groupBy("_digest").agg(F.min("_uid").alias("_first"), F.count("*").alias("_copies"))
+    digests = index.select("_uid", "_digest")
+    several = stored(digests.groupBy("_digest").agg(F.min("_uid").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_digest", "_first"), "copied-texts")
+    copies = stored(digests.join(several, "_digest").select("_uid", (F.col("_uid") == F.col("_first")).alias("_first")), "copies")  # tables, so that a text with many copies can be split
     anchors = index.select("_uid", F.xxhash64("_digest").alias("d"), F.explode(F.arrays_zip("_hashes", "_places", "_again")).alias("a"))
     flat = anchors.select("_uid", "d", F.col("a._hashes").alias("hash"), F.col("a._places").alias("place"), F.col("a._again").alias("again"))
     counted = flat.groupBy("hash").agg(F.count("*").alias("n"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.max("again").alias("again"))
     repeated = stored(counted.where("d0 <> d1 or again > 0").select("hash", "n"), "repeated-prefixes")  # as a table, a frequent one can be split in the join
     places = flat.select("_uid", "hash", "place").join(repeated, "hash").groupBy("_uid").agg(F.collect_list(F.struct("hash", "place", "n")).alias("_anchors"))
-    once = places.join(copies.select(F.col("_first").alias("_uid")), "_uid", "left_semi")
+    once = places.join(copies.where("NOT _first"), "_uid", "left_anti")
     held = stored(index.select("_uid", "_packed").join(once.hint("shuffle_hash"), "_uid"), "substring-candidates")
 
     suffixes = held.mapInArrow(_suffixes(group_rows), SUFFIXES)
     spans = suffixes.repartition("hash").sortWithinPartitions("hash").mapInArrow(_repeats, SPANS)
     windows = held.where(F.exists("_anchors", lambda a: a["n"] > group_rows)).mapInArrow(_windows(group_rows), WINDOWS)
-    frequent = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    frequent = stored(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "repeated-windows")
     wide = windows.join(frequent, "window").select("uid", "start", (F.col("start") + WINDOW).alias("end"))
-    by_text = spans.union(wide).groupBy(F.col("uid").alias("_uid")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    cut = held.select("_uid", "_packed").join(by_text.hint("shuffle_hash"), "_uid").mapInArrow(_cut, CUT)
-    if not with_text:
-        cut = cut.drop("_kept")
-
-    facts = index.select(*columns, "_uid", "_n", "_digest", *["_packed"] * with_text)
-    joined = facts.join(copies.drop("_first"), "_digest").join(cut, "_uid", "left")
-    whole = (F.col("_copies") > 1) & (F.col("_n") >= WINDOW)
-    removed = F.when(whole, F.col("_n")).otherwise(F.coalesce("_removed", F.lit(0)))
-    sha = F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.coalesce("_sha", "_digest"))
-    out = joined.select(*columns, F.col("_n").alias("n_words"), removed.cast("long").alias("n_removed"), F.lower(F.hex(sha)).alias("kept_sha256"), *[F.when(whole, F.lit(nothing)).otherwise(F.coalesce("_kept", "_packed")).alias("_packed")] * with_text)
-    if with_text:
-        schema = T.StructType([*(out.schema[c] for c in columns), docs.schema["text"], *(out.schema[c] for c in new)])
-        out = out.mapInArrow(lambda batches: _text(batches, schema), schema)
+    found = spans.union(wide).select(F.col("uid").alias("_uid"), F.struct("start", "end").alias("span"), F.lit(False).alias("copied"))
+    known = found.union(copies.select("_uid", F.lit(None).cast(found.schema["span"].dataType).alias("span"), F.lit(True).alias("copied")))
+    by_text = known.groupBy("_uid").agg(F.collect_set("span").alias("_spans"), F.max("copied").alias("_copied"))
+
+    schema = T.StructType([*(index.schema[c] for c in columns), *[T.StructField("text", T.StringType())] * with_text, *(T.StructField(n, t) for n, t in zip(new, (T.LongType(), T.LongType(), T.StringType()), strict=True))])
+    joined = index.select(*columns, "_uid", "_n", "_digest", "_packed").join(by_text.hint("shuffle_hash"), "_uid", "left")
+    out = joined.mapInArrow(lambda batches: _finish(batches, columns, with_text), schema)
     back = dict(zip(carried, columns, strict=True))
     kept = [c for c in docs.columns if c in back or c == "text" and with_text]
     return out.select(*(F.col(back.get(c, c)).alias(c) for c in kept), *new)

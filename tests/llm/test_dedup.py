@@ -89,11 +89,29 @@ def test_anchors_meet(spark):
     points = sorted(set(points), key=lambda p: np.uint64(p).view(np.int64))
     signed = np.array(points, np.uint64).view(np.int64)
     df = spark.createDataFrame(pd.DataFrame({"fingerprint": signed}))
-    placed = df.select(F.explode(simhash.anchors(F.col("fingerprint"))).alias("anchor"), "fingerprint")
-    assert placed.count() < 50 * len(points)
-    links = placed.repartition(3, "anchor").sortWithinPartitions("anchor").mapInArrow(simhash._link, simhash.LINKS)
+    for most in (simhash.GROUP, 40, 7):
+        placed = simhash.place(df, most)
+        assert most < 100 or placed.count() < 50 * len(points)
+        assert placed.groupBy("unit").count().agg(F.max("count")).first()[0] <= max(4 * most, 40)
+        links = placed.repartition(3, "unit").sortWithinPartitions("unit").mapInArrow(simhash._link, simhash.LINKS)
+        root = {r["node"]: r["root"] for r in connected_components(links).collect()}
+        assert [root.get(p, p) for p in signed.tolist()] == [int(signed[c]) for c in components(points)]
+
+
+def test_an_anchor_of_many_prints(spark):
+    """All share a segment, so they meet at its anchors all at once; planted ones are found there."""
+    rng = np.random.default_rng(6)
+    prints = np.unique(rng.integers(0, 1 << 43, 101_000, dtype=np.uint64)) << np.uint64(21)
+    near = [(int(x), int(x) ^ sum(1 << int(b) for b in rng.choice(np.arange(21, 64), 4, replace=False))) for x in prints[::1000]]
+    every = np.unique(np.concatenate([prints, np.array([y for _, y in near], np.uint64)])).view(np.int64)
+    placed = simhash.place(spark.createDataFrame(pd.DataFrame({"fingerprint": every})))
+    largest = placed.groupBy("unit").count().agg(F.max("count")).first()[0]
+    assert len(every) > 10**5 and largest <= 2.2 * simhash.GROUP
+    one = placed.where("unit % pow(2, 24) = 0")  # the anchor that is the segment itself
+    links = one.repartition(8, "unit").sortWithinPartitions("unit").mapInArrow(simhash._link, simhash.LINKS)
     root = {r["node"]: r["root"] for r in connected_components(links).collect()}
-    assert [root.get(p, p) for p in signed.tolist()] == [int(signed[c]) for c in components(points)]
+    signed = [tuple(np.array(p, np.uint64).view(np.int64).tolist()) for p in near]
+    assert all(x in root and root[x] == root[y] for x, y in signed) and len(root) < 1000
 
 
 def test_covering_radius():
