@@ -199,21 +199,36 @@ def test_tree_nodes():
 def contained(docs, items):
     def shingles(t):
         w = [x for x in (t or "").lower().replace("\t", " ").replace("\n", " ").split(" ") if x]
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        return w, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
     out = set()
     for d, t in docs:
-        own = shingles(t)
+        words, own = shingles(t)
         for i, x in items:
-            want = shingles(x)
-            if want and len(want & own) / len(want) >= 0.8:
+            item, want = shingles(x)
+            if 0 < (n := len(item)) < 5:
+                if any(words[k : k + n] == item for k in range(len(words) - n + 1)):
+                    out.add((d, i, 1, 1))
+            elif want and len(want & own) / len(want) >= 0.8:
                 out.add((d, i, len(want), len(want & own)))
     return out
 
 
-def test_decontaminate_against_brute_force(spark):
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_decontaminate_against_brute_force(spark, limit, monkeypatch):
+    """The sketch within the limit of broadcasts, and beyond it."""
+    monkeypatch.setattr(decontaminate, "FILTER_ABOVE", 1 if limit == "-1" else decontaminate.FILTER_ABOVE)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        _decontaminate_against_brute_force(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _decontaminate_against_brute_force(spark):
     rng = random.Random(4)
-    items = [(i, sentence(rng, n)) for i, n in enumerate([5, 6, 9, 13, 14, 20, 33, 64, 65, 120])] + [(20, "two words"), (21, None), (22, ""), (None, sentence(rng, 12))]
+    items = [(i, sentence(rng, n)) for i, n in enumerate([5, 6, 9, 13, 14, 20, 33, 64, 65, 120])] + [(20, "two words"), (23, "what is entropy"), (24, "Zq"), (21, None), (22, ""), (None, sentence(rng, 12))]
     docs = []
     for d in range(120):
         words = sentence(rng, rng.randrange(0, 300)).split()
@@ -226,7 +241,7 @@ def test_decontaminate_against_brute_force(spark):
             at = rng.randrange(len(words) + 1)
             words[at:at] = part
         docs.append((d, " ".join(words)))
-    docs += [(900, "Two\nWORDS"), (901, None), (902, ""), (903, items[3][1] * 2), (None, items[5][1])]
+    docs += [(900, "Two\nWORDS"), (901, None), (902, ""), (903, items[3][1] * 2), (904, "so I asked What  is\nENTROPY and why"), (905, "what is an entropy"), (906, "a zq b"), (907, "what is entropy"), (None, items[5][1])]
     ds, its = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contained_items(ds, its).collect()
     assert {(r["doc_id"], r["item_id"], r["n_shingles"], r["n_found"]) for r in got} == contained(docs, items) and len(got) == len(contained(docs, items))
