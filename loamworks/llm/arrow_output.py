@@ -5,9 +5,8 @@ ascending doc_id order.  The stream is cut into shards (ranges of doc_id), each
 written as one or more Arrow stream files of record batches with the columns
 ``input_ids`` fixed_size_list<uint16 or uint32>[L] and ``mask``
 fixed_size_list<bool>[L], uncompressed, so that a reader maps a file and takes
-sequence i by arithmetic alone.  Only the last sequence of a shard is padded
-(mask 0).  A file's metadata
-says which documents it holds.
+sequence i by arithmetic alone.  Only the last sequence of a file is padded
+(mask 0).  A file's metadata says which documents it holds.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from .common import slices, stored
 from .tokenizer_file import load
 
 ROWS_PER_BATCH = 512
-FILE_IDS = 8 << 20
+FILE_IDS = 4 << 20
 OWN = b"documents"
 
 
@@ -38,18 +37,16 @@ def _batch(ids: np.ndarray, length: int, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(padded), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema)
 
 
-def stream_bytes(ids: np.ndarray, length: int, documents: pa.RecordBatch, shard: int, offset: int) -> bytes:
-    """One stream file; its schema's metadata holds its documents (doc_id, n_tokens) and its place."""
+def write_stream(sink: io.IOBase | pa.NativeFile, ids: np.ndarray, length: int, documents: pa.RecordBatch, shard: int, offset: int) -> None:
+    """One stream file, a batch at a time; its schema's metadata holds its documents (doc_id, n_tokens) and its place."""
     note = io.BytesIO()
     with pa.ipc.new_stream(note, documents.schema) as out:
         out.write_batch(documents)
     kind = pa.from_numpy_dtype(ids.dtype)
     schema = pa.schema([("input_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))], metadata={OWN: note.getvalue(), b"shard": str(shard).encode(), b"offset": str(offset).encode()})
-    sink = io.BytesIO()
     with pa.ipc.new_stream(sink, schema) as out:
         for k in range(0, len(ids), ROWS_PER_BATCH * length):
             out.write_batch(_batch(ids[k : k + ROWS_PER_BATCH * length], length, schema))
-    return sink.getvalue()
 
 
 class StreamFile:
@@ -88,13 +85,13 @@ class StreamFile:
 FILES = T.StructType([T.StructField("file", T.StringType()), T.StructField("shard", T.IntegerType()), T.StructField("n_ids", T.LongType())])
 
 
-def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, *, length: int = 1024, end_id: int = 0, small_ids: bool = True) -> DataFrame:
+def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, *, length: int = 1024, end_id: int = 0, small_ids: bool = True, file_ids: int = FILE_IDS) -> DataFrame:
     """Write documents (doc_id, text) as stream files to ``folder``; returns the files' table (file, shard, n_ids).
 
-    Documents are dealt by ranges of doc_id and sorted (null ids first; equal
-    ids by a digest of the text), encoded, ended by ``end_id`` and packed end to
+    Documents are dealt by ranges of doc_id and a digest of the text, and sorted
+    by both (null ids first), encoded, ended by ``end_id`` and packed end to
     end.  A document lies within one file; a file is closed once it holds
-    FILE_IDS ids, and padded.  A null or empty text gives the end id alone; no
+    ``file_ids`` ids, and padded.  A null or empty text gives the end id alone; no
     documents give no files.  ``folder`` is any URI that Arrow's file systems
     open.  A task that runs again writes other files; only those in the
     returned table count.  ``small_ids``: 16 bits an id, for vocabularies of up
@@ -118,14 +115,14 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, *, length
             documents = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(np.concatenate(ends))], names=["doc_id", "n_tokens"])
             name = f"{uuid.uuid4().hex}.arrow"
             with store.open_output_stream(f"{path}/{name}") as out:
-                out.write(stream_bytes(np.concatenate(ids), length, documents, shard, offset))
+                write_stream(out, np.concatenate(ids), length, documents, shard, offset)
             row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([shard], pa.int32()), pa.array([held], pa.int64())], names=FILES.names)
             offset, held = offset + held, 0
             for x in (ids, ends, keys):
                 x.clear()
             return row
 
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", min(file_ids, 1 << 18)):
             if not keys:
                 store.create_dir(path, recursive=True)
             own, counts = coder.encode(texts)
@@ -136,12 +133,12 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, *, length
             ends.append(counts + 1)
             keys.append(batch.column("doc_id"))
             held += len(full)
-            if held >= FILE_IDS:
+            if held >= file_ids:
                 yield close()
         if keys:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return stored(ordered.mapInArrow(run, FILES), "sequence-files")
 
 
@@ -157,7 +154,7 @@ def read_sequences(spark: SparkSession, folder: str, files: DataFrame, doc_id_ty
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 file = StreamFile(content.as_buffer())
-                ids, documents = file.ids().astype("<u4"), file.documents.combine_chunks()
+                ids, documents = file.ids(), file.documents.combine_chunks()
                 counts = documents.column("n_tokens").to_numpy()
                 ends = np.cumsum(counts)
                 shard, offset = (int(file.schema.metadata[k]) for k in (b"shard", b"offset"))
@@ -166,7 +163,7 @@ def read_sequences(spark: SparkSession, folder: str, files: DataFrame, doc_id_ty
                     b = min(a + 256, len(counts))
                     first = int(ends[a] - counts[a])
                     sizes = np.concatenate([[0], ends[a:b] - first]).astype(np.int32) * 4
-                    own = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(sizes), pa.py_buffer(ids[first : int(ends[b - 1])].tobytes())])
+                    own = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(sizes), pa.py_buffer(ids[first : int(ends[b - 1])].astype("<u4").tobytes())])
                     n = b - a
                     yield pa.RecordBatch.from_arrays([keys.slice(a, n), pa.array([name] * n), pa.array([shard] * n, pa.int32()), pa.array(offset + ends[a:b] - counts[a:b]), pa.array(counts[a:b]), own], names=rows.names)
 

@@ -40,6 +40,8 @@ NO_PAIR = np.int32(2**31 - 1)
 CACHED_PIECES = 800_000
 CACHED_IDS = 8_000_000
 LONG_PIECE = 32
+#: Decoded at once, and one text more.
+DECODED_BYTES = 1 << 24
 
 
 def step(state: int, kind: int) -> int:
@@ -171,8 +173,8 @@ def token_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Ranks, the pairs that merge, and each token's bytes."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]] | None = None):
+        """``merges``: the pairs that merge, if not all whose bytes are a token."""
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.size = max(ranks.values()) + 1
         pieces = [b""] * self.size
@@ -181,7 +183,9 @@ class Vocabulary:
         self.blob = np.frombuffer(b"".join(pieces), np.uint8)
         self.lengths = np.array([len(p) for p in pieces], np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
-        found = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        pairs = merges if merges is not None else [(t[:i], t[i:]) for t in ranks for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        found = [(ranks[a], ranks[b], ranks[a + b]) for a, b in pairs]
+        self.merged = {a << 20 | b: r for a, b, r in found}
         self.bits = max(12, (4 * len(found)).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NO_PAIR, np.int32)
         keys = np.array([(a << 20) | b for a, b, _ in found], np.int64)
@@ -217,30 +221,29 @@ class Vocabulary:
 
     def merge_long(self, piece: bytes) -> list[int]:
         """One piece of any length, in n log n steps."""
-        get, n = self.ranks.get, len(piece)
-        end, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
-        alive = [True] * n
+        get, n = self.merged.get, len(piece)
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[int, int, int]] = []  # rank, place, the two ids
+
+        def meet(i: int, j: int) -> None:
+            if (r := get(key := ids[i] << 20 | ids[j])) is not None:
+                heapq.heappush(heap, (r, i, key))
+
         for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                heap.append((r, i, i + 2))
-        heapq.heapify(heap)
+            meet(i, i + 1)
         while heap:
-            r, i, to = heapq.heappop(heap)
-            if not alive[i] or end[i] >= n or end[end[i]] != to:
-                continue
-            alive[end[i]] = False
-            end[i] = to
-            if to < n:
-                before[to] = i
-                if (x := get(piece[i : end[to]])) is not None:
-                    heapq.heappush(heap, (x, i, end[to]))
-            if (j := before[i]) >= 0 and (x := get(piece[j:to])) is not None:
-                heapq.heappush(heap, (x, j, to))
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[piece[i : end[i]]])
-            i = end[i]
-        return out
+            r, i, key = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or ids[i] << 20 | ids[j] != key:
+                continue  # one of the two has merged meanwhile
+            ids[i], ids[j], after[i] = r, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                meet(i, after[i])
+            if before[i] >= 0:
+                meet(before[i], i)
+        return [x for x in ids if x >= 0]
 
     def merge_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each piece) of pieces of at most LONG_PIECE bytes."""
@@ -401,11 +404,13 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks_path)
         for whole in batches:
-            for k in range(0, whole.num_rows, 64):
-                batch = whole.slice(k, 64)
-                parts = [np.frombuffer(x or b"", "<u4") for x in batch.column("ids").to_pylist()]
-                sizes = [int(coder.vocabulary.lengths[x].sum()) for x in parts]
-                out = coder.decode(np.concatenate(parts))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), _cut(out, np.array(sizes, np.int64))], names=[*names, "decoded"])
+            start, parts, sizes = 0, [], []
+            for i, x in enumerate(whole.column("ids")):
+                parts.append(np.frombuffer(x.as_py() or b"", "<u4"))
+                sizes.append(int(coder.vocabulary.lengths[parts[-1]].sum()))
+                if i + 1 == whole.num_rows or len(parts) == 64 or sum(sizes) > DECODED_BYTES:
+                    batch, out = whole.slice(start, len(parts)), coder.decode(np.concatenate(parts))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), _cut(out, np.array(sizes, np.int64))], names=[*names, "decoded"])
+                    start, parts, sizes = i + 1, [], []
 
     return encoded.mapInArrow(run, T.StructType([*fields, T.StructField("decoded", T.BinaryType())]))

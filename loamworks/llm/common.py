@@ -14,7 +14,7 @@ from ..sources.shared import shared_dir
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-__all__ = ["WORD_GAP", "held_out", "shared_dir", "slices", "stored"]
+__all__ = ["WORD_GAP", "discard", "held_out", "shared_dir", "slices", "stored"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` made and nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of documents that no model may learn from (null ids are learned from)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

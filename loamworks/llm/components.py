@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -20,8 +20,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = stored(_directed(links.select("a", "b")), "links")
     state = _state(edges)
     while state[0]:
-        edges = stored(_small_star(_large_star(edges)), "links")
-        if (now := _state(edges)) == state:
+        before, edges = edges, stored(_small_star(_large_star(edges)), "links")
+        now = _state(edges)
+        discard(before)
+        if now == state:
             break
         state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b")).distinct()

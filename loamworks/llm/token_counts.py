@@ -50,15 +50,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     empty text, nothing else changes, since anything more could change counts.
     Each distinct missing text is encoded once, however often it occurs.  One
     row for each input row; an empty text has no tokens; texts may be of any
-    length; further columns are ignored.  Appending the same counts twice (a
-    job run again) does no harm: the cache is read as a set.
+    length; further columns are ignored.  Appending a count twice (a job run
+    again) does no harm: of several counts of a content the least is taken.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("content_digest"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
 
     def known() -> DataFrame:
-        return read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens").distinct()
+        return read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
 
     distinct = keyed.groupBy("content_digest").agg(F.first("text").alias("text"))  # partial: each task sends a text once
     missing = distinct.join(known(), "content_digest", "left_anti")

@@ -66,12 +66,14 @@ class PieceEncoder:
 
 
 def byte_level_vocabulary(spec: dict) -> Vocabulary:
-    """The ranks in a byte-level file, whose tokens show each byte as a printable character."""
+    """The ranks and merges in a byte-level file, whose tokens show each byte as a printable character."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
     special = {a["content"] for a in spec["added_tokens"]}
-    return Vocabulary({bytes(byte[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special})
+    raw = {token: bytes(byte[c] for c in token) for token in spec["model"]["vocab"] if token not in special}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    return Vocabulary({raw[token]: rank for token, rank in spec["model"]["vocab"].items() if token in raw}, [(raw[a], raw[b]) for a, b in merges])
 
 
 def is_plain_byte_level(spec: dict) -> bool:

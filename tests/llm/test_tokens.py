@@ -126,6 +126,27 @@ def test_other_tokenizers_go_to_their_libraries():
     assert not tokenizer_file.is_plain_byte_level(spec)
 
 
+def test_only_listed_merges_merge():
+    """A file whose tokens could also be reached by pairs that it doesn't list."""
+    spec = json.load(open(JSON))
+    letters = {c: spec["model"]["vocab"][c] for c in map(chr, [*range(33, 127), *range(161, 173), *range(174, 256), *range(256, 324)]) if c in spec["model"]["vocab"]}
+    n = max(letters.values())
+    spec["model"]["vocab"] = letters | {"bc": n + 1, "ab": n + 2, "abc": n + 3, "abcd": n + 4}
+    spec["model"]["merges"] = [["b", "c"], ["a", "b"], ["ab", "c"], ["abc", "d"]]
+    spec["added_tokens"] = []
+    assert tokenizer_file.is_plain_byte_level(spec)
+    own, library = tokenizer_file.PieceEncoder(spec), Tokenizer.from_str(json.dumps(spec))
+    for text in ("abc", "abcd", "abab", "bcab", "abc" * 30, "abcdabcbab" * 9):
+        assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_content_with_two_counts(spark):
+    docs, cache = spark.createDataFrame([(1, "one two")], "doc_id long, text string"), shared_dir(spark, "cache")
+    token_counts.count_tokens(docs, JSON, cache).count()
+    token_counts.read_cache(spark, cache).withColumn("n_tokens", F.col("n_tokens") + 1).write.mode("append").parquet(cache)
+    assert [r["n_tokens"] for r in token_counts.count_tokens(docs, JSON, cache).collect()] == [2]
+
+
 def test_counts_edge_and_cache(spark, edge_docs, no_docs, library):
     cache = shared_dir(spark, "cache")
     texts = [*edge_texts(), edge_texts()[5]]
@@ -148,9 +169,11 @@ def test_op8(spark, small, library):
     assert got == {k: (len(docs[k].encode()), n, n > 1024) for k, n in want.items()}
 
 
-def test_sequences_edge(spark, edge_docs, no_docs, library, monkeypatch):
+@pytest.mark.parametrize("file_ids", [arrow_output.FILE_IDS, 100])
+def test_sequences_edge(spark, edge_docs, no_docs, library, file_ids):
     folder = shared_dir(spark, "sequences")
-    files = arrow_output.write_sequences(edge_docs, folder, JSON, length=64)
+    files = arrow_output.write_sequences(edge_docs, folder, JSON, length=64, file_ids=file_ids)
+    assert files.groupBy("shard").count().where("count > 1").count() > 0 or file_ids > 100
     got = arrow_output.read_sequences(spark, folder, files, edge_docs.schema["doc_id"].dataType).collect()
     texts = [*edge_texts(), edge_texts()[5]]
     want = sorted(np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts)
@@ -171,13 +194,17 @@ def test_stream_file_random_access():
 
     ids = np.arange(5000, dtype=np.uint16)
     docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3000, 2000])], names=["doc_id", "n_tokens"])
-    data = pa.py_buffer(arrow_output.stream_bytes(ids, 8, docs, 3, 40))
+    def stream(*given):
+        arrow_output.write_stream(sink := pa.BufferOutputStream(), *given)
+        return sink.getvalue()
+
+    data = stream(ids, 8, docs, 3, 40)
     file = arrow_output.StreamFile(data)
     assert len(file) == 625 and file.ids().tolist() == ids.tolist()
     got, mask = file.sequence(600)
     assert got.tolist() == ids[4800:4808].tolist() and mask.true_count == 8
     assert data.address <= got.__array_interface__["data"][0] < data.address + data.size  # a view of the file
-    odd = arrow_output.StreamFile(arrow_output.stream_bytes(ids[:10], 8, docs, 0, 0))
+    odd = arrow_output.StreamFile(stream(ids[:10], 8, docs, 0, 0))
     assert odd.sequence(1)[1].to_pylist() == [True] * 2 + [False] * 6
 
 
