@@ -6,11 +6,17 @@ surrogate pair, so a cut that would split one moves back by one unit.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What ECMAScript takes for white space and line ends.
 WS = r"[\u0009-\u000D \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: Fixed values of 32-bit FNV-1a.
+FNV_START, FNV_PRIME = 0x811C9DC5, 0x01000193
+#: So few rows are no longer worth arrays.
+FNV_FEW = 8
 
 
 def trim_all(text: Column) -> Column:
@@ -46,11 +52,32 @@ def pair_key(instruction: Column, output: Column) -> Column:
     return F.concat_ws("\n", normalize(instruction), normalize(output))
 
 
+def _fnv1a(texts: pd.Series) -> pd.Series:
+    """A unit of all rows at a time, those of the few longest one by one."""
+    own = [t.encode("utf-16-le", "surrogatepass") for t in texts.fillna("")]
+    sizes = np.array([len(o) // 2 for o in own], np.int64)
+    order = np.argsort(-sizes, kind="stable")  # rows that end later come first
+    units_, begins = np.frombuffer(b"".join(own), np.uint16), (np.cumsum(sizes) - sizes)[order]
+    sorted_sizes, hashes = sizes[order], np.full(len(own), FNV_START, np.uint32)
+    j, active = 0, int((sizes > 0).sum())
+    while active > FNV_FEW:
+        hashes[:active] = (hashes[:active] ^ units_[begins[:active] + j]) * np.uint32(FNV_PRIME)
+        j += 1
+        while active and sorted_sizes[active - 1] <= j:
+            active -= 1
+    for r in range(active):
+        h = int(hashes[r])
+        for u in units_[begins[r] + j : begins[r] + sorted_sizes[r]].tolist():
+            h = (h ^ u) * FNV_PRIME & 0xFFFFFFFF
+        hashes[r] = h
+    out = np.empty(len(own), np.int64)
+    out[order] = hashes
+    return pd.Series(out).astype("Int64").where(texts.notna().reset_index(drop=True))
+
+
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over 16-bit units, a long without sign."""
-    found = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"))
-    start, prime, mask = (F.lit(x).cast("long") for x in (0x811C9DC5, 0x01000193, 0xFFFFFFFF))
-    return F.aggregate(found, start, lambda h, u: (h.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * prime).bitwiseAND(mask))
+    return F.pandas_udf(_fnv1a, "long")(text)
 
 
 def strip_fences(text: Column) -> Column:

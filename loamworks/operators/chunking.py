@@ -40,21 +40,36 @@ def hard_slices(text: Column, most: int) -> Column:
     return F.when(units(text) <= most, F.array(text)).when(units(text) == F.length(text), plain).otherwise(wide)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pack(pieces: Column, most: int, separator: str) -> Column:
     """Neighbouring pieces joined by the separator as long as they stay within ``most`` units."""
     gap = len(separator)
-    start = F.struct(F.array().cast("array<string>").alias("o"), F.lit("").alias("c"), F.lit(0).alias("n"))
+    start = F.struct(F.array().cast("array<int>").alias("o"), F.lit(0).alias("n"), F.lit(0).alias("i"))
 
-    def add(state: Column, piece: Column) -> Column:
-        size, held = units(piece), state["n"] > 0
-        full = held & (state["n"] + gap + size > most)
+    def add(state: Column, size: Column) -> Column:  # numbers only: where chunks begin, after the first
+        full = (state["n"] > 0) & (state["n"] + gap + size > most)
         return F.struct(
-            F.when(full, F.concat(state["o"], F.array(state["c"]))).otherwise(state["o"]).alias("o"),
-            F.when(full | ~held, piece).otherwise(F.concat(state["c"], F.lit(separator), piece)).alias("c"),
-            F.when(full | ~held, size).otherwise(state["n"] + gap + size).alias("n"),
+            F.when(full, F.concat(state["o"], F.array(state["i"]))).otherwise(state["o"]).alias("o"),
+            F.when(full | (state["n"] == 0), size).otherwise(state["n"] + gap + size).alias("n"),
+            (state["i"] + 1).alias("i"),
         )
 
-    return F.aggregate(pieces, start, add, lambda s: F.when(s["n"] > 0, F.concat(s["o"], F.array(s["c"]))).otherwise(s["o"]))
+    def cut(own: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.aggregate(F.transform(own, units), start, add, lambda s: s["o"]))
+        return _bound(F.struct(begins.alias("b"), F.size(own).alias("n")), join(own))
+
+    def join(own: Column):
+        def parts(x: Column) -> Column:
+            after = lambda i: F.coalesce(F.get(x["b"], i + 1), x["n"])
+            return F.transform(x["b"], lambda b, i: F.array_join(F.slice(own, b + 1, after(i) - b), separator))
+
+        return parts
+
+    return _bound(pieces, lambda own: F.when(F.size(own) > 0, cut(own)).otherwise(F.array().cast("array<string>")))
 
 
 def split_long(paragraph: Column, most: int) -> Column:

@@ -34,6 +34,10 @@ def to_chat(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.array(message("user", "instruction"), message("assistant", "output")).alias("messages"))
 
 
+def training_instruction(mode: str) -> str:
+    return INSTRUCTIONS.get(mode, OTHER_INSTRUCTION)
+
+
 def instruction_for(mode: Column) -> Column:
     found = F.lit(OTHER_INSTRUCTION)
     for name, text in INSTRUCTIONS.items():

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import approx_tokens
+from ..sources.shared import shared_dir
 
 
 def pair_tokens() -> Column:
@@ -14,9 +15,19 @@ def pair_tokens() -> Column:
 
 
 def source_counts(pairs: DataFrame, order: str) -> DataFrame:
-    """(source, pairs, position): pairs of each source, sources in the order of their first pair."""
+    """(source, pairs, position): pairs of each source, sources in the order of their first pair.
+
+    Sources are dealt out by ranges; what comes before a range is a sum over ranges.
+    """
+    spark = pairs.sparkSession
     counted = pairs.groupBy("source").agg(F.count("*").alias("pairs"), F.min(order).alias("_first"))
-    return counted.select("source", "pairs", F.row_number().over(Window.orderBy("_first")).alias("position"))
+    path = shared_dir(spark, "source-counts")
+    counted.repartitionByRange("_first").withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ranges = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_first"))
+    return ranged.withColumn("_row", within).join(ranges, "_range").select("source", "pairs", (F.col("_before") + F.col("_row")).cast("int").alias("position"))
 
 
 def combined_stats(pairs: DataFrame, unique: DataFrame) -> DataFrame:
@@ -50,7 +61,8 @@ def dataset_stats(docs: DataFrame, chunks: DataFrame, pairs: DataFrame, skipped:
 
 
 def warnings(stats: DataFrame) -> DataFrame:
-    """(source, warning) of the sources that have skipped chunks."""
+    """(source, warning) of the sources that have skipped chunks; ``first_error`` says why the first of them failed."""
     left = F.size("skipped_chunks")
-    text = F.concat(left.cast("string"), F.lit(" of "), F.col("chunks").cast("string"), F.lit(" chunks have no training data because they could not be processed."))
+    count = F.concat(left.cast("string"), F.lit(" of "), F.col("chunks").cast("string"), F.lit(" chunks have no training data because they could not be processed."))
+    text = F.concat_ws(" ", count, F.col("first_error"))
     return stats.where(left > 0).select("source", text.alias("warning"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ PROMPT_UNITS = 200_000
 TIMEOUT_S = 120
 RETRIES = 4
 MAX_REPLY_TOKENS = 16_000
+#: Statuses below 500 that pass by themselves, and seconds between attempts.
+RETRIED = (408, 409, 429)
+WAIT_S, MOST_WAIT_S = 0.5, 8.0
 
 
 class ExtractorError(Exception):
@@ -64,6 +69,35 @@ class Settings:
         return os.environ[self.key_variable]
 
 
+class ServiceExtractor:
+    """A model service behind ``send``, which takes (request, key, seconds) and returns the service's reply as an object.
+
+    ``send`` raises ExtractorError with the service's status, or None if there
+    was no answer.  Time limits, lost connections, rate limits and the service's
+    own failures are tried again, up to ``retries`` times, each after twice the
+    wait.  A declined or cut-off reply is an error that only its prompt has.
+    """
+
+    def __init__(self, settings: Settings, send: Callable[[dict, str, float], dict], *, retries: int = RETRIES, timeout: float = TIMEOUT_S, sleep: Callable[[float], None] = time.sleep):
+        self.settings, self.send, self.retries, self.timeout, self.sleep = settings, send, retries, timeout, sleep
+
+    def complete(self, prompt: str, schema: dict | None = None) -> str:
+        request: dict = {"model": self.settings.model, "max_tokens": MAX_REPLY_TOKENS, "messages": [{"role": "user", "content": prompt}]}
+        if schema is not None:
+            request["output_config"] = {"format": {"type": "json_schema", "schema": schema}}
+        for attempt in range(self.retries + 1):
+            try:
+                reply = self.send(request, self.settings.key(), self.timeout)
+                break
+            except ExtractorError as e:
+                if attempt == self.retries or not (e.status is None or e.status in RETRIED or e.status >= 500):
+                    raise
+                self.sleep(min(WAIT_S * 2**attempt, MOST_WAIT_S))
+        if reply.get("stop_reason") in ("refusal", "max_tokens"):
+            raise ExtractorError(kind=reply["stop_reason"])
+        return "".join(part["text"] for part in reply["content"] if part["type"] == "text")
+
+
 MESSAGES = {
     "timeout": "No answer within the time limit; try again later.",
     "connection": "The service can't be reached; check the connection.",
@@ -109,12 +143,9 @@ def ask_for_json(extractor: Extractor, prompt: str, schema: dict | None = None)
     raise AssertionError
 
 
-PAIRS_PROMPT = """Make training data from the passage below: at most six pairs of an instruction and its answer.
-
-Use only what the passage says. Vary the kinds: questions of fact, explanations, short summaries. Each instruction must
-be understood without the passage and must not mention it; name its subject. Answers are complete sentences, correct and
-self-contained. No two pairs alike. Keep the passage's language. Leave out lists of contents and references, page headers
-and legal notes; if little is left, give fewer pairs or none.
+PAIRS_PROMPT = """Below is a passage. Turn what it teaches into instruction and output pairs for training a model: up to six, none if it teaches nothing.
+A reader of a pair has never seen the passage, so both sides have to stand alone, name what they are about, and say nothing that the passage doesn't.
+Write in the passage's own language. Let the six differ in what they ask for and in how they ask.
 
 Passage:
 """
@@ -154,7 +185,7 @@ def pairs_of(reply: object) -> list[dict]:
     return out
 
 
-def ask_all(prompts: DataFrame, make: Callable[[], Extractor], *, schema: dict | None, concurrency: int = CONCURRENCY, progress: Callable[[], None] | None = None) -> DataFrame:
+def ask_all(prompts: DataFrame, make: Callable[[], Extractor], *, schema: dict | None, concurrency: int = CONCURRENCY, progress: Accumulator | None = None) -> DataFrame:
     """``prompts`` with status, reply and error in place of the column ``prompt``.
 
     Each task keeps up to ``concurrency`` requests open.  An error that stops
@@ -177,13 +208,13 @@ def ask_all(prompts: DataFrame, make: Callable[[], Extractor], *, schema: dict |
             except Exception as e:  # becomes a row
                 stopped = stopped or stops_all(e)
                 out = "failed", None, describe(e)
-            if progress:
-                progress()
             return out
 
         with ThreadPoolExecutor(concurrency) as pool:
             for part in parts:
                 found = list(pool.map(one, part["prompt"]))
+                if progress is not None:
+                    progress.add(sum(f[0] != "not_attempted" for f in found))  # reaches the driver when the task ends
                 yield part[names].assign(status=[f[0] for f in found], reply=[f[1] for f in found], error=[f[2] for f in found])
 
     return prompts.mapInPandas(run, ddl)

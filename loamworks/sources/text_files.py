@@ -42,11 +42,13 @@ def pdf_text(content: bytes) -> str:
     return "".join(f"\n\n{page.extract_text()}" for page in PdfReader(io.BytesIO(content)).pages)
 
 
+PACKAGE = "Packages of datasets (.zip) are combined, not extracted."
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {".docx": docx_text, ".pdf": pdf_text}
 
 
 def extract_text(spark: SparkSession, paths: list[str] | str, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """Rows (path, source, text, error) of files; one that can't be read, or is of another kind, has an error and no text."""
+    """Rows (path, source, text, error) of files, each path once; one that can't be read, or is of another kind, has an error and no text."""
+    paths = paths if isinstance(paths, str) else list(dict.fromkeys(paths))
     known = {**EXTRACTORS, **(extractors or {})}
     files = spark.read.format("binaryFile").load(paths).select("path", base_name(F.col("path")).alias("source"), extension(F.col("path")).alias("ext"), "content")
 
@@ -57,7 +59,7 @@ def extract_text(spark: SparkSession, paths: list[str] | str, extractors: dict[s
                 text = error = None
                 try:
                     if ext not in known:
-                        raise ValueError(f"Unsupported file type: {ext}")
+                        raise ValueError(PACKAGE if ext == ".zip" else f"Unsupported file type: {ext}")
                     text = known[ext](content)
                 except Exception as e:  # becomes a row
                     error = str(e) or type(e).__name__

@@ -6,6 +6,7 @@ import json
 import zipfile
 
 import pytest
+from loamworks.operators.pairs import training_instruction
 from loamworks.plans import extract as ex
 from loamworks.plans import pipelines as pl
 from loamworks.sources import files, sinks, text_files
@@ -59,7 +60,15 @@ def test_combine(spark, tmp_path):
         assert [m["role"] for m in chat["messages"]] == ["user", "assistant"]
     assert texts(pl.combine(spark, [out, b]).pairs) == texts(both.pairs)  # a combined package is valid input, splits stay
     twice = pl.combine(spark, [a, a]).summary()
-    assert twice["duplicates_removed"] == 2 and twice["files"] == 2
+    assert twice["duplicates_removed"] == 0 and twice["files"] == 1  # a path counts once
+    assert pl.combine(spark, [a, b], without=[b]).summary()["sources"] == [{"source": "S", "pairs": 2}]
+    with pytest.raises(ValueError, match="x.pdf"):
+        pl.combine(spark, [a, "/x.pdf"])
+    big = str(tmp_path / "folder")
+    sinks.write_folder(both.pairs, both.chunks, big)
+    found = {n: sorted(r["value"] for r in spark.read.text(f"{big}/{n}").collect()) for n in ("alpaca/train", "alpaca/validation", "chat/train", "chat/validation", "chunks")}
+    with zipfile.ZipFile(out) as z:
+        assert found == {n: sorted(z.read(f"{n}.jsonl").decode().splitlines()) for n in found}
     with pytest.raises(ValueError):
         pl.combine(spark, [none, str(broken)])
 
@@ -70,10 +79,73 @@ def test_generate(spark):
     stats = {r["source"]: r for r in made.stats.collect()}
     assert (stats["d1"]["chunks"], stats["d1"]["pairs"], stats["d1"]["skipped_chunks"], stats["d1"]["error"]) == (3, 2, [2], None)
     assert stats["d2"]["error"] == ex.MESSAGES["overloaded_error"] and stats["d3"]["chunks"] == 0 and stats["d3"]["error"]
-    assert {r["source"] for r in made.warnings.collect()} == {"d1", "d2"}
+    told = {r["source"]: r["warning"] for r in made.warnings.collect()}
+    assert set(told) == {"d1", "d2"} and told["d1"].endswith(ex.MESSAGES["overloaded_error"])
     assert all(r["instruction"] == r["instruction"].strip() for r in made.pairs.collect())
 
 
+def test_progress_and_save(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "one.\n\ntwo."), ("d2", "tres.")], "source string, text string")
+    done = spark.sparkContext.accumulator(0)
+    made = pl.generate_dataset(docs, ex.OfflineExtractor, most=5, progress=done)
+    assert done.value == 3
+    path = pl.save(made, str(tmp_path / "one.zip"), "ai-data", source="d1")
+    with zipfile.ZipFile(path) as z:
+        assert set(z.namelist()) == {"alpaca.jsonl", "chat.jsonl", "chunks.jsonl", "stats.json"}
+        stats = json.loads(z.read("stats.json"))
+        assert list(stats) == ["source", "model", "created_at", "chunks", "pairs", "approx_source_tokens", "approx_dataset_tokens", "skipped_chunks"]
+        assert (stats["source"], stats["chunks"], stats["pairs"]) == ("d1", 2, 2) == (stats["source"], len(z.read("chunks.jsonl").splitlines()), len(z.read("alpaca.jsonl").splitlines()))
+    both = pl.combine(spark, [path, pl.save(made, str(tmp_path / "two.zip"), "ai-data", source="d2")])
+    assert zipfile.is_zipfile(pl.save(both, str(tmp_path / "both.zip"), "combined")) and both.summary()["pairs"] == 3
+    result = pl.extract_structured(docs, "analytics", ex.OfflineExtractor)
+    with zipfile.ZipFile(pl.save(result, str(tmp_path / "three.zip"), "analytics", source="d2")) as z:
+        entry = json.loads(z.read("training.jsonl"))
+        assert entry["input"] == "tres." and json.loads(entry["output"]) == json.loads(z.read("output.json"))
+        assert entry["instruction"] == training_instruction("analytics")
+    with pytest.raises(ValueError):
+        pl.save(pl.extract_structured(docs.selectExpr("source", "' ' AS text"), "analytics", ex.OfflineExtractor), str(tmp_path / "no.zip"), "analytics")
+
+
+def test_service(monkeypatch):
+    monkeypatch.setenv("LOAMWORKS_API_KEY", "k")
+    monkeypatch.setenv("LOAMWORKS_MODEL", "m")
+    settings, waits = ex.Settings.from_environment(), []
+
+    def service(*answers, **more):
+        held, seen = list(answers), []
+
+        def send(request, key, timeout):
+            seen.append((request, key, timeout))
+            if isinstance(answer := held.pop(0), Exception):
+                raise answer
+            return answer
+
+        return ex.ServiceExtractor(settings, send, sleep=waits.append, **more), seen
+
+    def reply(text="", stop="end_turn"):
+        return {"stop_reason": stop, "content": [{"type": "thinking", "text": "?"}, {"type": "text", "text": text}, {"type": "text", "text": "!"}]}
+
+    def busy(status=None):
+        return ex.ExtractorError("busy", kind="timeout" if status is None else "other", status=status)
+
+    one, seen = service(busy(), busy(429), busy(529), reply("ok"))
+    assert one.complete("p", {"type": "object"}) == "ok!" and waits == [0.5, 1.0, 2.0]
+    request, key, timeout = seen[-1]
+    assert (request["model"], request["max_tokens"], key, timeout) == ("m", 16_000, "k", 120) and request["output_config"]["format"]["schema"] == {"type": "object"}
+    for errors, calls in (([busy(500)] * 9, 5), ([busy(401)] * 9, 1)):
+        one, seen = service(*errors)
+        with pytest.raises(ex.ExtractorError):
+            one.complete("p")
+        assert len(seen) == calls and "output_config" not in seen[0][0]
+    for stop in ("refusal", "max_tokens"):
+        with pytest.raises(ex.ExtractorError) as e:
+            service(reply("x", stop))[0].complete("p")
+        assert ex.describe(e.value) == ex.MESSAGES[stop] and not ex.stops_all(e.value)
+    monkeypatch.delenv("LOAMWORKS_API_KEY")
+    with pytest.raises(ValueError):
+        ex.Settings.from_environment()
+
+
 def test_stop_rule(spark):
     docs = spark.createDataFrame([("d", "\n\n".join("abcdefgh"))], "source string, text string")
     seen = pl.generate_dataset(docs, lambda: ex.OfflineExtractor(lambda p: ex.ExtractorError("limit", status=429) if p == "c" else None), most=1, concurrency=1, tasks=1).outcomes
