@@ -18,7 +18,6 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +36,12 @@ STATES = 10
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 NO_PAIR = np.int32(2**31 - 1)
-CACHED_PIECES = 800_000
+CACHED_PIECES = 1_000_000
 CACHED_IDS = 8_000_000
 LONG_PIECE = 32
+SHORT_PIECE = 15
+#: By length: which of a short piece's 16 bytes are its own.
+_KEPT_BYTES = np.array([[255 * (i < n) for i in range(16)] for n in range(SHORT_PIECE + 1)], np.uint8).view("<u8")
 #: Decoded at once, and one text more.
 DECODED_BYTES = 1 << 24
 
@@ -281,58 +283,142 @@ class Vocabulary:
         return done[kept], kept.sum(1)
 
 
+class PieceTable:
+    """Numbers by short pieces, in arrays with open addressing, looked up for all pieces of a batch at once.
+
+    A piece of at most SHORT_PIECE bytes and its length fill 16 bytes, so keys
+    are compared in full and no piece is taken for another.
+    """
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.count, self.bits = 0, 16
+        self.rows = np.zeros((1 << self.bits, 3), np.uint64)  # bytes 0 to 7; bytes 8 to 14 and the length, 0 where free; the number
+
+    def keys(self, data: bytes, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Rows (first key, second key) of the pieces of ``data`` that start at ``places``."""
+        padded = data + bytes(16)
+        words = np.ndarray(len(data) + 1, "V16", padded, strides=(1,))[places].view("<u8").reshape(-1, 2)
+        words &= _KEPT_BYTES[sizes]
+        words[:, 1] |= sizes.astype(np.uint64) << np.uint64(56)
+        return words
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
+        mixed ^= mixed >> np.uint64(29)
+        return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        at = self._slots(keys)
+        there = np.take(self.rows, at, axis=0)
+        same = (there[:, 0] == keys[:, 0]) & (there[:, 1] == keys[:, 1])
+        out = np.where(same, there[:, 2].view(np.int64), -1)
+        open_ = np.flatnonzero(~same & (there[:, 1] != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            there, wanted = self.rows[at[open_]], keys[open_]
+            same = (there[:, 0] == wanted[:, 0]) & (there[:, 1] == wanted[:, 1])
+            out[open_[same]] = there[same, 2]
+            open_ = open_[~same & (there[:, 1] != 0)]
+        return out
+
+    def put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Add distinct keys that aren't there."""
+        if 2 * (self.count + len(keys)) > len(self.rows):
+            held = self.rows[self.rows[:, 1] != 0]
+            self.bits = max(self.bits + 1, (4 * (self.count + len(keys))).bit_length())
+            self.rows, self.count = np.zeros((1 << self.bits, 3), np.uint64), 0
+            self.put(held[:, :2], held[:, 2])
+        self.count += len(keys)
+        rows = np.column_stack([keys, numbers.astype(np.uint64)])
+        at = self._slots(keys)
+        while len(at):
+            free = np.flatnonzero(self.rows[at, 1] == 0)
+            slots, first = np.unique(at[free], return_index=True)  # of those that want the same slot, one
+            self.rows[slots] = rows[free[first]]
+            rest = np.ones(len(at), bool)
+            rest[free[first]] = False
+            rows, at = rows[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+
 class Encoder:
     """Texts to ids.  Merged pieces stay in a cache of bounded size."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.pieces: dict[str, int] = {}  # piece -> offset of its ids << 32 | how many
+        self.table = PieceTable()  # piece -> offset of its ids << 32 | how many
+        self.pieces: dict[bytes, int] = {}  # the same for longer pieces
         self.ids = array("i")
 
-    def _merge(self, missing: list[str]) -> None:
-        coded = [p.encode() for p in missing]
-        short = [i for i, p in enumerate(coded) if len(p) <= LONG_PIECE]
-        for lo, hi in ((0, 8), (8, 14), (14, LONG_PIECE)):
-            part = [i for i in short if lo < len(coded[i]) <= hi]
+    def _merge(self, missing: list[bytes]) -> None:
+        for lo, hi in ((0, 8), (8, SHORT_PIECE), (SHORT_PIECE, LONG_PIECE)):
+            part = [p for p in missing if lo < len(p) <= hi]
             for k in range(0, len(part), 1 << 15):
                 some = part[k : k + (1 << 15)]
-                ids, counts = self.vocabulary.merge_many([coded[i] for i in some])
-                at = len(self.ids) + np.cumsum(counts) - counts
+                ids, counts = self.vocabulary.merge_many(some)
+                packed = (len(self.ids) + np.cumsum(counts) - counts) << 32 | counts
                 self.ids.frombytes(ids.astype(np.int32).tobytes())
-                self.pieces.update(zip([missing[i] for i in some], ((at << 32) | counts).tolist(), strict=True))
-        for i, p in enumerate(coded):
+                if hi <= SHORT_PIECE:
+                    sizes = np.fromiter(map(len, some), np.int64, len(some))
+                    self.table.put(self.table.keys(b"".join(some), np.cumsum(sizes) - sizes, sizes), packed)
+                else:
+                    self.pieces.update(zip(some, packed.tolist(), strict=True))
+        for p in missing:
             if len(p) > LONG_PIECE:
                 out = self.vocabulary.merge_long(p)
-                self.pieces[missing[i]] = (len(self.ids) << 32) | len(out)
+                self.pieces[p] = (len(self.ids) << 32) | len(out)
                 self.ids.extend(out)
 
+    def _packed(self, data: bytes, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where the ids of each piece of ``data`` are; those that aren't known are merged."""
+        short, long = np.flatnonzero(sizes <= SHORT_PIECE), np.flatnonzero(sizes > SHORT_PIECE)
+        every = len(long) == 0
+        keys = self.table.keys(data, places if every else places[short], sizes if every else sizes[short])
+        found = self.table.find(keys)
+        begins = places[long].tolist()
+        others = [data[a : a + n] for a, n in zip(begins, sizes[long].tolist(), strict=True)]
+        new = np.flatnonzero(found < 0)
+        unknown = short[new]
+        missing = [data[a : a + n] for a, n in zip(places[unknown].tolist(), sizes[unknown].tolist(), strict=True)]
+        missing += [p for p in others if p not in self.pieces]
+        if missing:
+            self._merge(list(dict.fromkeys(missing)))
+            found[new] = self.table.find(keys[new])
+        if every:
+            return found
+        out = np.empty(len(sizes), np.int64)
+        out[short] = found
+        out[long] = np.fromiter(map(self.pieces.__getitem__, others), np.int64, len(others))
+        return out
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text, piece ends as code points within all texts, pieces per text)."""
         joined = "".join(texts)
         if not joined:
             zero = np.zeros(len(texts), np.int64)
             return np.zeros(0, np.int32), zero, np.zeros(0, np.int64), zero
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        data, points = joined.encode(), np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         begins = np.cumsum(sizes) - sizes
         starts = np.flatnonzero(token_starts(points, begins[sizes > 0]))
-        bounds = [*starts.tolist(), len(joined)]
-        found = [joined[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        if len(self.pieces) > CACHED_PIECES or len(self.ids) > CACHED_IDS:
+        places = starts
+        if len(data) > len(points):  # from code points to bytes
+            places = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[starts]
+        if self.table.count + len(self.pieces) > CACHED_PIECES or len(self.ids) > CACHED_IDS:
+            self.table.clear()
             self.pieces.clear()
             self.ids = array("i")
-        packed = np.fromiter(map(self.pieces.get, found, repeat(-1)), np.int64, len(found))
-        if len(new := np.flatnonzero(packed < 0)):
-            missing = [found[i] for i in new.tolist()]
-            self._merge(list(dict.fromkeys(missing)))
-            packed[new] = np.fromiter(map(self.pieces.__getitem__, missing), np.int64, len(missing))
+        packed = self._packed(data, places, np.diff(places, append=len(data)))
         counts, offsets = packed & 0xFFFFFFFF, packed >> 32
         ends = np.cumsum(counts)
         total = int(ends[-1])
         take = np.repeat(offsets - (ends - counts), counts) + np.arange(total)
         ids = np.frombuffer(self.ids, np.int32)[take]
         first = np.searchsorted(starts, begins)  # of each text's pieces
-        per_text = np.diff(np.append(first, len(found)))
+        per_text = np.diff(np.append(first, len(starts)))
         before = np.concatenate([[0], ends])
         return ids, before[first + per_text] - before[first], np.append(starts[1:], len(joined)), per_text
 

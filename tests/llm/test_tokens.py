@@ -64,6 +64,37 @@ def test_ids_equal_the_libraries(coder, tik, texts):
     assert coder.decode(ids) == "".join(texts).encode()
 
 
+def test_table_is_a_dictionary():
+    """Pieces that differ in a last zero byte, that are as long as a key can hold, and that make the table grow."""
+    rng = random.Random(5)
+    pieces = list(dict.fromkeys([b"a", b"a\0", b"\0", b"\0\0", b"b" * bpe.SHORT_PIECE, b"b" * (bpe.SHORT_PIECE - 1), *(rng.randbytes(rng.randint(1, bpe.SHORT_PIECE)) for _ in range(150_000))]))
+    table, known = bpe.PieceTable(), {}
+
+    def keys(some):
+        sizes = np.array(list(map(len, some)), np.int64)
+        return table.keys(b"".join(some), np.cumsum(sizes) - sizes, sizes)
+
+    assert table.find(keys(pieces[:9])).tolist() == [-1] * 9 and len(table.find(keys([]))) == 0
+    for part in (pieces[:3], pieces[3:50_000], pieces[50_000:]):
+        numbers = np.arange(len(known), len(known) + len(part))
+        table.put(keys(part), numbers)
+        known |= dict(zip(part, numbers.tolist(), strict=True))
+        assert table.find(keys(pieces)).tolist() == [known.get(p, -1) for p in pieces]
+    table.clear()
+    assert (table.find(keys(pieces)) == -1).all()
+
+
+def test_cached_pieces_of_all_lengths(tik, monkeypatch):
+    """Long pieces alone, both kinds mixed, known or not, and a cache that is emptied all the time."""
+    texts = ["x" * 40, "x" * 15 + " " + "y" * 15 + "é" * 8, "a\0 a\0\0 a", "one two " + "z" * 16, "漢字" * 30 + " ok", ""]
+    for most in (bpe.CACHED_PIECES, 1):
+        monkeypatch.setattr(bpe, "CACHED_PIECES", most)
+        own = bpe.Encoder(bpe.Vocabulary.load(RANKS))
+        for some in [*([t] for t in texts), texts, texts[::-1]]:
+            ids, counts = own.encode(some)[:2]
+            assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [tik.encode_ordinary(t) for t in some]
+
+
 def test_scan_is_the_automaton():
     rng = np.random.default_rng(0)
     kinds = rng.integers(0, bpe.CLASSES, 20_000)
