@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, stored
 from .tokenizer_file import load
 
 CACHE = T.StructType([T.StructField("content_digest", T.BinaryType()), T.StructField("tokenizer_digest", T.StringType()), T.StructField("n_tokens", T.LongType())])
@@ -64,4 +64,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     missing = distinct.join(known(), "content_digest", "left_anti")
     counted = missing.mapInArrow(_counting(tokenizer_path), T.StructType([CACHE["content_digest"], CACHE["n_tokens"]]))
     counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
-    return keyed.select("doc_id", "content_digest", "n_bytes").join(known(), "content_digest").select("doc_id", "n_bytes", "n_tokens")
+    counts = stored(known(), "known-counts")  # a table, so that a content with many copies can be split in the join
+    return keyed.select("doc_id", "content_digest", "n_bytes").join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens")
