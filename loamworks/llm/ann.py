@@ -98,10 +98,18 @@ def survivors(codes: np.ndarray, scalars: np.ndarray, turned: np.ndarray, bars:
             yield row + r, found + s, near[row, found]
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component to the last whatever the machine's vector unit."""
+    out = np.zeros(len(a))
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        out += x * y
+    return out
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of rows, in double precision."""
     a, b = scaled(a), scaled(b)
-    return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+    return products(a, b) / (np.sqrt(products(a, a)) * np.sqrt(products(b, b)))
 
 
 def usable(vector: Column) -> Column:
@@ -241,3 +249,20 @@ def nearest(vectors: DataFrame, query: Column, k: int = 5, *, error_span: float
     others = F.filter("top", lambda x: x["r"] != own).alias("top")
     ranked = answers.select("query_id", others).select("query_id", F.posexplode(F.slice("top", 1, k)).alias("rank", "x"))
     return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").cast(id_type).alias("vec_id"), "x.score")
+
+
+#: DuckDB SQL for the five nearest of the vectors whose ids 50 divides, over the table embeddings: all pairs, exactly.
+SQL = """
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL
+), usable AS MATERIALIZED (
+  SELECT r, vec_id, v, sqrt(list_inner_product(v, v)) AS norm FROM vectors
+  WHERE len(list_filter(v, lambda x: isfinite(x))) = len(v) AND len(list_filter(v, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) / (q.norm * c.norm) AS score
+  FROM usable q JOIN usable c ON len(c.v) = len(q.v) AND c.r <> q.r WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""

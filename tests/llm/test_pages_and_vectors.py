@@ -10,6 +10,8 @@ import pytest
 from loamworks.llm import ann, html_extract, queries
 from pyspark.sql import functions as F
 
+from ..conftest import same_rows
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><p>Tagline</p></header>
 <div class="cookie-notice"><p>We use cookies to make things better for everyone in the whole wide world.</p></div>
 <nav><a href="/">Home</a> <a href="/x">More</a></nav><main><article><header><h1>Title A &amp; B</h1></header>
@@ -198,3 +200,29 @@ def test_op3_recall(spark):
         assert answers.keys() == want.keys()
         hits = [len({j for j, _ in answers[q]} & {j for j, _ in want[q]}) for q in want]
         assert sum(hits) >= 0.99 * 5 * len(want)
+
+
+def test_op3(spark, small, tables):
+    same_rows(queries.op3_nearest(spark, small), tables.sql(queries.SQL["op3_nearest"]))
+
+
+def test_sql_of_op3_on_odd_vectors():
+    import duckdb
+
+    rows = vectors()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    got = con.sql(queries.SQL["op3_nearest"]).fetchall()
+    want = {(q, rank, score) for q, answers in brute(rows, 50, 5) for rank, (_, score) in enumerate(answers, 1)}
+    assert {(q, rank, round(score, 11)) for q, rank, _, score in got} == want
+
+
+def test_products_are_those_of_a_plain_loop():
+    rng = np.random.default_rng(11)
+    a, b = rng.standard_normal((50, 67)), rng.standard_normal((50, 67))
+    for x, y, got in zip(a.tolist(), b.tolist(), ann.products(a, b).tolist(), strict=True):
+        total = 0.0
+        for u, v in zip(x, y, strict=True):
+            total += u * v
+        assert total == got
