@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import ann, decontaminate, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,4 +112,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {"op6_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {"op3_nearest": ann.SQL, "op5_substring": substring.SQL, "op6_decontaminate": decontaminate.SQL}

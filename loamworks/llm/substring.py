@@ -341,3 +341,24 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = True, group_rows: int =
     back = dict(zip(carried, columns, strict=True))
     kept = [c for c in docs.columns if c in back or c == "text" and with_text]
     return out.select(*(F.col(back.get(c, c)).alias(c) for c in kept), *new)
+
+
+#: DuckDB SQL for the digests of what remove_repeats leaves, over the table documents: windows by doubling rows of words.
+SQL = r"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS MATERIALIZED (
+  SELECT r, unnest(w) AS w1, unnest(range(len(w))) AS i FROM texts
+), two AS (SELECT r, i, w1, w1 || ' ' || lead(w1) OVER (PARTITION BY r ORDER BY i) AS w2 FROM words
+), four AS (SELECT r, i, w1, w2, w2 || ' ' || lead(w2, 2) OVER (PARTITION BY r ORDER BY i) AS w4 FROM two
+), eight AS (SELECT r, i, w1, w2, w4 || ' ' || lead(w4, 4) OVER (PARTITION BY r ORDER BY i) AS w8 FROM four
+), sixteen AS (SELECT r, i, w1, w2, w8 || ' ' || lead(w8, 8) OVER (PARTITION BY r ORDER BY i) AS w16 FROM eight
+), windows AS (
+  SELECT r, i, w16 || ' ' || lead(w16, 16) OVER own || ' ' || lead(w2, 32) OVER own || ' ' || lead(w1, 34) OVER own AS w35
+  FROM sixteen WINDOW own AS (PARTITION BY r ORDER BY i)
+), repeated AS (SELECT w35 FROM windows WHERE w35 IS NOT NULL GROUP BY w35 HAVING count(*) > 1
+), gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM windows SEMI JOIN repeated USING (w35)
+), kept AS (SELECT r, count(*) AS n, string_agg(w1, ' ' ORDER BY i) AS line FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""

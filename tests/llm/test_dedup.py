@@ -185,10 +185,21 @@ def test_substring_edge(spark, edge_docs, no_docs):
     assert substring.remove_repeats(no_docs).count() == 0
 
 
-def test_op5(spark, small):
+def test_op5(spark, small, tables):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
     want = [(k, *c[:3]) for (k, _), c in zip(docs, cut([t for _, t in docs]), strict=True)]
     assert by_row(queries.op5_substring(spark, small), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    same_rows(queries.op5_substring(spark, small), tables.sql(queries.SQL["op5_substring"]))
+
+
+def test_sql_of_op5_on_odd_texts():
+    import duckdb
+
+    texts = [*edge_texts(), *passages(4, 60)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i if i % 7 else None, t) for i, t in enumerate(texts)])
+    assert sorted(r[1:] for r in con.sql(queries.SQL["op5_substring"]).fetchall()) == sorted(c[:3] for c in cut(texts))
 
 
 def test_tree_nodes():
