@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: What ECMAScript takes for white space and line ends.
 WS = r"[\u0009-\u000D \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+WS_SIGNS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 #: Fixed values of 32-bit FNV-1a.
 FNV_START, FNV_PRIME = 0x811C9DC5, 0x01000193
 #: So few rows are no longer worth arrays.
@@ -21,7 +22,7 @@ FNV_FEW = 8
 
 def trim_all(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(WS_SIGNS))
 
 
 def units(text: Column) -> Column:
